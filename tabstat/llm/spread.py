@@ -114,6 +114,11 @@ def part_of(h: np.ndarray, log_p: int) -> np.ndarray:
     return (h >> np.uint64(64 - log_p)).astype(np.int32)
 
 
+def row_part(ids: np.ndarray, keys: np.ndarray, log_p: int) -> np.ndarray:
+    """Part of a row: by id and text, so that neither copies of a text nor a repeated id pile up."""
+    return part_of(K.mix(keys ^ K.mix(ids.view(np.uint64))), log_p)
+
+
 class HashSet:
     """Collects hashes of a batch; gives each once, with a mark on those seen before in it."""
 

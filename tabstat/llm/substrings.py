@@ -93,7 +93,7 @@ def repeats(rows: DataFrame, log_p: int, window: int, anchor: int, inside: np.nd
                 send = leads | ~earliest
                 kind = (~earliest)[send].astype(np.uint8)
                 h1, h2, doc, key, pos = (x[send] for x in (h1, h2, doc, key, pos))
-                yield S.route(S.part_of(np.where(kind > 0, key, h1), log_p), {"kind": kind, "h1": np.where(kind > 0, np.uint64(0), h1), "h2": np.where(kind > 0, np.uint64(0), h2), "id": doc, "text_key": key, "pos": pos})
+                yield S.route(np.where(kind > 0, S.row_part(doc, key, log_p), S.part_of(h1, log_p)), {"kind": kind, "h1": np.where(kind > 0, np.uint64(0), h1), "h2": np.where(kind > 0, np.uint64(0), h2), "id": doc, "text_key": key, "pos": pos})
 
     def settle(table: pa.Table) -> pa.Table:
         kind, h1, h2 = S.unpack(table, "kind", np.uint8) > 0, S.unpack(table, "h1", np.uint64), S.unpack(table, "h2", np.uint64)
@@ -102,19 +102,19 @@ def repeats(rows: DataFrame, log_p: int, window: int, anchor: int, inside: np.nd
         flagged[~kind] = ~_first(h1[~kind], h2[~kind], doc[~kind], pos[~kind])[0]
         at = np.flatnonzero(flagged)
         at = at[np.lexsort((pos[at], key[at]))]
-        return pa.Table.from_batches([S.route(S.part_of(key[at], log_p), {"id": doc[at], "text_key": key[at], "pos": pos[at]})])
+        return pa.Table.from_batches([S.route(S.row_part(doc[at], key[at], log_p), {"id": doc[at], "text_key": key[at], "pos": pos[at]})])
 
     return rows.select("id", "text").mapInArrow(extend, _ENTRY).groupBy("part").applyInArrow(settle, _FLAG)
 
 
 def with_part(rows: DataFrame, log_p: int) -> DataFrame:
-    """rows with the part of their text's hash, which spreads equal ids and keeps a text with its flags."""
+    """rows with their part, where their flags are."""
 
     def add(batches):
         for batch in batches:
-            part = [np.empty(0, np.int32)]
-            for _, _, data, offsets in K.text_slices(batch.column(1)):
-                part.append(S.part_of(S.text_keys(data, offsets), log_p))
+            ids, part = S.ids_of(batch), [np.empty(0, np.int32)]
+            for low, high, data, offsets in K.text_slices(batch.column(1)):
+                part.append(S.row_part(ids[low:high], S.text_keys(data, offsets), log_p))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), *batch.columns], ["part", *batch.schema.names])
 
     return rows.mapInArrow(add, "part int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))

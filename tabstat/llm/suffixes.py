@@ -183,7 +183,7 @@ def repeats(rows: DataFrame, log_p: int, length: int, anchor: int) -> DataFrame:
             least[order] = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
             settled = doc > least
             size = n.astype(np.int64) + length - 1
-            part = S.part_of(np.where(settled, key, h), log_p)
+            part = np.where(settled, S.row_part(doc, key, log_p), S.part_of(h, log_p))
             out = S.route(part, {"kind": settled.astype(np.uint8), "n": n, "id": doc, "text_key": key, "pos": pos})
             by_part = np.argsort(part, kind="stable")
             size, at = np.where(settled, 0, size)[by_part], (np.cumsum(size) - size)[by_part]
@@ -213,7 +213,7 @@ def repeats(rows: DataFrame, log_p: int, length: int, anchor: int) -> DataFrame:
         span = np.concatenate((run, n[kind])).astype(np.int32) + length - 1
         order = np.lexsort((at, key[owner]))
         owner, at, span = owner[order], at[order], span[order].astype(np.int32)
-        return pa.Table.from_batches([S.route(S.part_of(key[owner], log_p), {"id": doc[owner], "text_key": key[owner], "pos": at, "length": span})])
+        return pa.Table.from_batches([S.route(S.row_part(doc[owner], key[owner], log_p), {"id": doc[owner], "text_key": key[owner], "pos": at, "length": span})])
 
     return rows.select("id", "text").mapInArrow(collect, _ITEM).groupBy("part").applyInArrow(settle, _FLAG)
 
