@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabstat.llm import decontaminate, jaccard, substrings, suffixes
+from tabstat.llm import decontaminate, jaccard, quality, substrings, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,12 +39,37 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontamination, op6_ngram_jaccard_join, op7_substring_dedup, op8_suffix_array_dedup)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op5_decontamination, op6_ngram_jaccard_join, op7_substring_dedup, op8_suffix_array_dedup, op10_quality_rules)}
 
 _BLANK = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
+#: The rules' counts and the hashed n-gram verdict of every document.
+QUALITY_SQL = rf"""
+d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_BLANK}) AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
+again AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY 1),
+line AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ 	-]') GROUP BY 1),
+word AS (SELECT doc_id, i, CAST('0x' || substr(md5(w), 1, 15) AS BIGINT) AS x FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM d)),
+gram AS (SELECT doc_id, x % 16384 AS b FROM word UNION ALL SELECT doc_id, (x % 1048576 * 31 + y) % 16384 FROM (SELECT doc_id, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM word) WHERE y IS NOT NULL),
+target AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL) ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 20000),
+c AS (SELECT b, count(*) AS r, count(target.doc_id) AS t FROM gram LEFT JOIN target USING (doc_id) GROUP BY 1),
+dense AS (SELECT b, coalesce(r, 0) AS r, coalesce(t, 0) AS t, sum(coalesce(r, 0)) OVER () AS rs, sum(coalesce(t, 0)) OVER () AS ts FROM (SELECT unnest(range(16384)) AS b) LEFT JOIN c USING (b)),
+weight AS (SELECT b, CASE WHEN ts = 0 THEN 0 ELSE CAST(round((ln((t + 1.0::DOUBLE) / (ts + 1.0::DOUBLE * 16384)) - ln((r + 1.0::DOUBLE) / (rs + 1.0::DOUBLE * 16384))) * 1e6::DOUBLE) AS BIGINT) END AS w FROM dense),
+score AS (SELECT doc_id, sum(w) AS s FROM gram JOIN weight USING (b) GROUP BY 1),
+base AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(line.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words,
+  len(ws) < 20 OR 100 * coalesce(again.n, 0) > 30 * len(ws) AS base_failed, coalesce(s, 0) >= -52000 * greatest(2 * len(ws) - 1, 0) AS good
+  FROM d LEFT JOIN line USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN score USING (doc_id)),
+judged AS (SELECT * EXCLUDE (good), NOT base_failed AND good AS kept FROM base)"""
+
 ORACLE_SQL = {
     "op5_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), {_ALNUM}) AS ws FROM documents),
@@ -88,4 +113,5 @@ kept AS (SELECT doc_id, string_agg(x, '' ORDER BY i) AS s FROM byte ANTI JOIN go
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(s, ''))) AS kept_sha256
 FROM d LEFT JOIN span USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op10_quality_rules": f"WITH {QUALITY_SQL} SELECT * FROM judged",
 }
