@@ -157,6 +157,20 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         row = end
 
 
+def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+    """The spans of data one after another. Works a step of bytes at a time, so that index arrays stay small."""
+    ends = np.cumsum(length)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype)
+    low = 0
+    while low < len(start):
+        base = ends[low] - length[low]
+        high = max(low + 1, int(np.searchsorted(ends, base + step, "right")))
+        n = length[low:high]
+        out[base : ends[high - 1]] = data[np.arange(ends[high - 1] - base) + np.repeat(start[low:high] - (ends[low:high] - n - base), n)]
+        low = high
+    return out
+
+
 def runs(sorted_values: np.ndarray) -> np.ndarray:
     """Index of the first of each run of equal values."""
     if not len(sorted_values):

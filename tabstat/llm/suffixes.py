@@ -23,6 +23,8 @@ LENGTH = 50
 ANCHOR = 16
 #: Depth in bytes at which quicksort hands over to blind tries.
 SHALLOW = 32
+#: Text that a task gathers before it sends it on, in bytes.
+FLUSH_BYTES = 4 << 20
 
 _ITEM = "part int, kind binary, n binary, id binary, text_key binary, pos binary, context binary"
 _FLAG = "part int, id binary, text_key binary, pos binary, length binary"
@@ -154,9 +156,28 @@ def repeats(rows: DataFrame, log_p: int, length: int, anchor: int) -> DataFrame:
     """Byte spans made of windows that a smaller id has too, packed by document part."""
     bits = rows.sparkSession.sparkContext.broadcast(seeds(rows, log_p, length, anchor))
 
+    def pack(held):
+        h, off, n, doc, key, pos, s0, s1, text = map(np.concatenate, zip(*held, strict=True))
+        # A stretch that a smaller id has whole among those held is settled here and needn't travel with its text.
+        order = np.lexsort((doc, off, s1, s0))
+        new = np.concatenate(([True], (np.diff(s0[order]) != 0) | (np.diff(s1[order]) != 0) | (off[order][1:] != off[order][:-1])))
+        least = np.empty(len(order), np.int64)
+        least[order] = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+        settled = doc > least
+        size = n.astype(np.int64) + length - 1
+        part = np.where(settled, S.row_part(doc, key, log_p), S.part_of(h, log_p))
+        out = S.route(part, {"kind": settled.astype(np.uint8), "n": n, "id": doc, "text_key": key, "pos": pos})
+        by_part = np.argsort(part, kind="stable")
+        size, at = np.where(settled, 0, size)[by_part], (np.cumsum(size) - size)[by_part]
+        moved = K.gather(text, at, size)
+        ends = np.cumsum(size)
+        first = K.runs(part[by_part])
+        context = string_array(moved, np.append(np.concatenate(([0], ends))[first], ends[-1]), pa.binary())
+        return pa.RecordBatch.from_arrays([*out.columns, context], [*out.schema.names, "context"])
+
     def collect(batches):
         for batch in batches:
-            ids, held = S.ids_of(batch), []
+            ids, held, waiting = S.ids_of(batch), [], 0
             for low, high, data, offsets in K.text_slices(batch.column(1)):
                 starts, place, grams = _canonical(data, offsets, length, anchor)
                 mine = S.in_bitmap(bits.value, grams[place], log_p)
@@ -171,27 +192,14 @@ def repeats(rows: DataFrame, log_p: int, length: int, anchor: int) -> DataFrame:
                 row = np.searchsorted(offsets, a, "right") - 1
                 values = data.astype(np.uint64) + np.uint64(1)
                 same = [K.span_hashes(K.prefix_sums(values, w), a, b, w) for w in (0, 1)]
-                text = data[np.arange((b - a).sum()) + np.repeat(a - np.cumsum(b - a) + (b - a), b - a)]
+                text = K.gather(data, a, b - a)
                 held.append((grams[place], (place - a).astype(np.uint8), n.astype(np.uint8), ids[low:high][row], S.text_keys(data, offsets)[row], (a - offsets[row]).astype(np.int32), *same, text))
-            if not held:
-                continue
-            h, off, n, doc, key, pos, s0, s1, text = map(np.concatenate, zip(*held, strict=True))
-            # A stretch that a smaller id has whole in this batch is settled here and needn't travel with its text.
-            order = np.lexsort((doc, off, s1, s0))
-            new = np.concatenate(([True], (np.diff(s0[order]) != 0) | (np.diff(s1[order]) != 0) | (off[order][1:] != off[order][:-1])))
-            least = np.empty(len(order), np.int64)
-            least[order] = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
-            settled = doc > least
-            size = n.astype(np.int64) + length - 1
-            part = np.where(settled, S.row_part(doc, key, log_p), S.part_of(h, log_p))
-            out = S.route(part, {"kind": settled.astype(np.uint8), "n": n, "id": doc, "text_key": key, "pos": pos})
-            by_part = np.argsort(part, kind="stable")
-            size, at = np.where(settled, 0, size)[by_part], (np.cumsum(size) - size)[by_part]
-            moved = text[np.arange(size.sum()) + np.repeat(at - np.cumsum(size) + size, size)]
-            ends = np.cumsum(size)
-            first = K.runs(part[by_part])
-            context = string_array(moved, np.append(np.concatenate(([0], ends))[first], ends[-1]), pa.binary())
-            yield pa.RecordBatch.from_arrays([*out.columns, context], [*out.schema.names, "context"])
+                waiting += len(text)
+                if waiting > FLUSH_BYTES:
+                    yield pack(held)
+                    held, waiting = [], 0
+            if held:
+                yield pack(held)
 
     def settle(table: pa.Table) -> pa.Table:
         kind, n = S.unpack(table, "kind", np.uint8) > 0, S.unpack(table, "n", np.uint8).astype(np.int64)
