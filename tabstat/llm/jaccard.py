@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabstat.llm import kernel as K
@@ -25,8 +25,8 @@ from tabstat.llm import spread as S
 
 SHINGLE = 5
 PERCENT = 80
-#: Counters of the frequency sketch, whatever the input: 2 MB.
-SKETCH_BITS = 18
+#: Binary logarithm of the counters of the frequency sketch: 4 MB, and up to 64 MB on large inputs.
+SKETCH_BITS = (20, 24)
 _BLOCKS = 64
 
 
@@ -72,17 +72,22 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n + (-n * percent // 100) + 1
 
 
-def _profile(rows: DataFrame, size: int) -> DataFrame:
+def sketch_bits(rows: DataFrame) -> int:
+    """One counter for each 512 bytes of input, within SKETCH_BITS."""
+    return min(max(int(S.size_bytes(rows) >> 9).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+
+
+def _profile(rows: DataFrame, size: int, bits: int) -> DataFrame:
     """Per document: id, n, the class key; per task: blocks of shingle counts."""
-    width = (1 << SKETCH_BITS) // _BLOCKS
+    width = (1 << bits) // _BLOCKS
 
     def scan(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             ids, n, key = S.ids_of(batch), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for _, _, data, offsets in K.text_slices(batch.column(1)):
                 sets = Sets(data, offsets, size)
-                counts += np.bincount((sets.value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                np.add.at(counts, (sets.value >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
                 n.append(sets.n)
                 key.append(class_key(*sets.prints(), sets.n))
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "n": pa.array(np.concatenate(n)), "key": pa.array(np.concatenate(key)), "block": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
@@ -91,23 +96,23 @@ def _profile(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(scan, "id bigint, n bigint, key bigint, block int, counts binary")
 
 
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """Sums of the tasks' counts: 2**SKETCH_BITS numbers at any input size."""
+def _sketch(profile: DataFrame, bits: int) -> np.ndarray:
+    """Sums of the tasks' counts: 2**bits numbers."""
 
     def add(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]
-        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([np.sum(parts, axis=0, dtype=np.uint64).tobytes()], pa.binary())})
+        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([np.minimum(np.sum(parts, axis=0, dtype=np.uint64), 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
-    out = np.zeros((_BLOCKS, (1 << SKETCH_BITS) // _BLOCKS), np.uint64)
+    out = np.zeros((_BLOCKS, (1 << bits) // _BLOCKS), np.uint32)
     for row in profile.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        out[row.block] = np.frombuffer(row.counts, np.uint64)
+        out[row.block] = np.frombuffer(row.counts, np.uint32)
     return out.reshape(-1)
 
 
 _POST = "part int, kind binary, token binary, grp binary, n binary, pos binary"
 
 
-def _postings(rows: DataFrame, sketch, log_p: int, size: int, percent: int) -> DataFrame:
+def _postings(rows: DataFrame, sketch, bits: int, log_p: int, size: int, percent: int) -> DataFrame:
     """Prefix shingles of groups met by two groups or more (kind 0), and the classes of each group (kind 1)."""
 
     def scan(batches):
@@ -117,7 +122,7 @@ def _postings(rows: DataFrame, sketch, log_p: int, size: int, percent: int) -> D
                 sets = Sets(data, offsets, size)
                 if not len(sets.value):
                     continue
-                count = sketch.value[(sets.value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                count = sketch.value[(sets.value >> np.uint64(64 - bits)).astype(np.int64)]
                 order = np.lexsort((sets.value, count, sets.row))
                 value = sets.value[order]
                 place = np.arange(len(value)) - sets.first[sets.row]
@@ -165,22 +170,64 @@ def can_link(na: np.ndarray, at_a: np.ndarray, nb: np.ndarray, at_b: np.ndarray,
 
 
 def _nearest(posts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Class pairs of the first round: each group with the neighbour it meets most, and neighbours inside groups."""
-    # A posting list sorted by size; its rows are few per shingle, as shingles are ordered rare first.
-    by_size = Window.partitionBy("token").orderBy("n", "grp")
-    prior = posts.select("grp", F.lag("grp").over(by_size).alias("other"), "n", F.lag("n").over(by_size).alias("m"))
-    best = (
-        prior.where(F.col("other").isNotNull() & (F.col("m") * 100 >= F.col("n") * percent))
-        .groupBy("grp", "other").count().groupBy("grp").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
-    )
+    """Class pairs of the first round: two partners for each group, and neighbours inside groups.
+
+    In a posting list a group meets the hub of its size class: the group with most
+    shared prefix shingles, which in a family of edited copies is one close to the
+    original. Size classes overlap by half, so that copies meet in one of them. Of
+    all its hubs a group keeps the two that it meets most. Hubs are found by
+    partial aggregation, however long a list is.
+    """
+    fame = posts.groupBy("grp").agg(F.count("*").alias("fame"))
+    step = np.log(100 / percent)
+    classes = F.array(*(F.floor(F.log("n") / step + shift / 2).cast("int") * 2 + shift for shift in (0, 1)))
+    listed = posts.join(fame, "grp").select("token", "grp", "n", "fame", F.explode(classes).alias("cls"))
+    hubs = listed.groupBy("token", "cls").agg(F.max(F.struct("fame", "grp")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", "cls", F.col("hub.grp").alias("other"))
+    met = listed.join(hubs, ["token", "cls"]).where("grp <> other").groupBy("grp", "other").count()
+    ranked = met.groupBy("grp").agg(F.expr("slice(sort_array(collect_list(struct(count, other)), false), 1, 2)").alias("top"))
+    best = ranked.select("grp", F.explode("top").alias("t")).select("grp", F.col("t.other").alias("other"))
     head = members.groupBy("grp").agg(F.min("key").alias("key"))
     across = best.join(head, "grp").select(F.col("key").alias("a"), F.col("other").alias("grp")).join(head, "grp").select("a", F.col("key").alias("b"))
     inside = members.join(head.withColumnRenamed("key", "a"), "grp").where("key <> a").select("a", F.col("key").alias("b"))
     return across.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def cross_pairs(token: np.ndarray, component: np.ndarray, step: int = 1 << 20):
+    """Index pairs of entries of one token and different components, in blocks; token is sorted.
+
+    Entries of a list's commonest component only meet the others, so a list of one
+    component and a few strays costs its length for each stray.
+    """
+    edge = np.append(K.runs(token), len(token))
+    of_list = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    order = np.lexsort((component, of_list))
+    c, t = component[order], of_list[order]
+    first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])))) if len(c) else np.empty(0, np.int64)
+    n = np.diff(np.append(first, len(c)))
+    top = np.lexsort((n, t[first]))
+    last = np.append(K.runs(t[first][top]), len(top))[1:] - 1
+    common = c[first][top][last]
+    stray = np.flatnonzero(component != common[of_list]) if len(c) else np.empty(0, np.int64)
+    width = np.diff(edge)[of_list[stray]]
+    ends = np.cumsum(width)
+    low = 0
+    while low < len(stray):
+        base = ends[low] - width[low]
+        high = max(low + 1, int(np.searchsorted(ends, base + step, "right")))
+        i = np.repeat(stray[low:high], width[low:high])
+        j = np.arange(len(i)) - np.repeat(ends[low:high] - width[low:high] - base, width[low:high]) + np.repeat(edge[of_list[stray[low:high]]], width[low:high])
+        fit = (component[i] != component[j]) & ((component[j] == common[of_list[j]]) | (i < j))
+        yield i[fit], j[fit]
+        low = high
+
+
 def _remaining(posts: DataFrame, members: DataFrame, log_p: int, percent: int) -> DataFrame:
-    """Class pairs across components that pass the filters. members: grp, key, component."""
+    """Class pairs across components that pass the filters. members: grp, key, component.
+
+    Besides size and position, a pair must share enough of its prefixes: what two
+    sets share lies in both prefixes, or past the prefix of the one whose prefix
+    ends first.
+    """
     parts = members.select("grp", "component").distinct()
     entries = posts.join(parts, "grp").select("token", "grp", "n", "pos", "component")
     mixed = entries.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
@@ -191,28 +238,31 @@ def _remaining(posts: DataFrame, members: DataFrame, log_p: int, percent: int) -
         n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos"))
         order = np.lexsort((grp, n, token))
         token, grp, component, n, pos = token[order], grp[order], component[order], n[order], pos[order]
-        edge = np.append(K.runs(token), len(token))
-        end = np.repeat(edge[1:], np.diff(edge))
-        done, held, waiting = np.empty((4, 0), np.int64), [], 0
+        done, held, waiting = np.empty((7, 0), np.int64), [], 0
 
         def fold():
-            return np.unique(np.concatenate([done, *held], axis=1), axis=1)
+            rows = np.concatenate([done, *held], axis=1)
+            rows = rows[:, np.lexsort(rows[:4])]
+            new = np.flatnonzero(np.concatenate(([True], (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)))) if rows.shape[1] else np.empty(0, np.int64)
+            return np.concatenate((rows[:6, new], np.add.reduceat(rows[6], new)[None] if len(new) else rows[6:, :0]))
 
-        for step in range(1, int(np.diff(edge).max()) if len(edge) > 1 else 0):
-            # Every entry with the one `step` places on in its list.
-            i = np.flatnonzero(np.arange(len(token)) + step < end)
-            i = i[(component[i] != component[i + step])]
-            j = i + step
+        for i, j in cross_pairs(token, component):
             ok = can_link(n[i], pos[i], n[j], pos[j], percent)
             i, j = i[ok], j[ok]
-            held.append(np.stack((grp[i], component[i], grp[j], component[j])))
+            swap = grp[i] > grp[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            held.append(np.stack((grp[i], component[i], grp[j], component[j], n[i], n[j], np.ones(len(i), np.int64))))
             waiting += len(i)
             if waiting > 500_000:
                 done, held, waiting = fold(), [], 0
         done = fold()
-        return pa.table({c: pa.array(x) for c, x in zip(("ga", "ca", "gb", "cb"), done, strict=True)})
+        return pa.table({c: pa.array(x) for c, x in zip(("ga", "ca", "gb", "cb", "na", "nb", "met"), done, strict=True)})
 
-    pairs = entries.groupBy("part").applyInArrow(pair, "ga bigint, ca bigint, gb bigint, cb bigint").distinct()
+    pairs = entries.groupBy("part").applyInArrow(pair, "ga bigint, ca bigint, gb bigint, cb bigint, na bigint, nb bigint, met bigint")
+    pairs = pairs.groupBy("ga", "ca", "gb", "cb", "na", "nb").agg(F.sum("met").alias("met"))
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9)
+    past = F.ceil(F.greatest("na", "nb") * percent / 100 - 1e-9) - 1
+    pairs = pairs.where(F.col("met") + past >= need).drop("met", "na", "nb")
     a = members.select(F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("key").alias("a"))
     b = members.select(F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("key").alias("b"))
     return pairs.join(a, ["ga", "ca"]).join(b, ["gb", "cb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
@@ -281,10 +331,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     S.tune(spark)
     rows = S.texts(docs, id_col, text_col).select("id", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
     log_p = S.log_parts(rows)
-    profile = S.write_table(_profile(rows, size))
+    bits = sketch_bits(rows)
+    profile = S.write_table(_profile(rows, size, bits))
     classes = S.write_table(profile.where("n > 0").groupBy("key").agg(F.min("id").alias("rep")))
-    sketch = spark.sparkContext.broadcast(_sketch(profile))
-    met = S.write_table(_postings(rows, sketch, log_p, size, percent))
+    sketch = spark.sparkContext.broadcast(_sketch(profile, bits))
+    met = S.write_table(_postings(rows, sketch, bits, log_p, size, percent))
     posts = met.where("kind = 0").drop("kind")
     members = met.where("kind = 1").select("grp", F.col("token").alias("key")).distinct()
     shared = posts.select("grp").union(members.groupBy("grp").count().where("count > 1").select("grp")).distinct()
