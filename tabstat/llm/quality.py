@@ -40,8 +40,9 @@ def _pair(x: str, y: str, buckets: int) -> str:
 
 def _repeat_words(rows: DataFrame, window: int) -> DataFrame:
     """Adds n_repeat_words: words inside windows of the hashed words h met twice or more in the text."""
-    items = ", ".join(f"h[i + {k}]" for k in range(window))
-    rows = rows.withColumn("win", F.expr(f"CASE WHEN size(h) >= {window} THEN transform(sequence(0, size(h) - {window}), i -> xxhash64({items})) ELSE array() END"))
+    # The array is bound to a lambda variable, as reading a column costs an allocation per element.
+    items = ", ".join(f"z[i + {k}]" for k in range(1, window))
+    rows = rows.withColumn("win", F.expr(f"CASE WHEN size(h) >= {window} THEN transform(array(h), z -> transform(slice(z, 1, size(z) - {window - 1}), (x, i) -> xxhash64(x, {items})))[0] ELSE array() END"))
     # Only texts with a repeated window are sorted: equal windows become neighbours.
     rows = rows.withColumn("win", F.expr("CASE WHEN size(array_distinct(win)) < size(win) THEN array_sort(transform(win, (x, i) -> struct(x AS x, i AS i))) ELSE array() END"))
     rows = rows.withColumn("win", F.expr("sort_array(transform(filter(win, (s, k) -> (k > 0 AND win[k - 1].x = s.x) OR (k < size(win) - 1 AND win[k + 1].x = s.x)), s -> s.i))"))
