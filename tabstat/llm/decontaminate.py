@@ -135,9 +135,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be documents or spans")
     names = docs.columns
-    found = find_leaks(docs, benchmark, id_col, text_col, carry=names, **how)
+    others = [c for c in names if c != text_col]
+    back = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(others)} | {text_col: F.col("text").alias(text_col)}
+    found = find_leaks(docs, benchmark, id_col, text_col, carry=others, **how)
     if remove == "documents":
-        return found.where(F.size("starts") == 0).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+        return found.where(F.size("starts") == 0).select(*(back[c] for c in names))
 
     def cut(batches):
         for batch in batches:
@@ -158,5 +160,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 out.append(data[keep].tobytes().decode())
             yield pa.RecordBatch.from_arrays([batch.column(j) if c != "text" else pa.array(out, pa.string()) for j, c in enumerate(batch.schema.names)], batch.schema.names)
 
-    cleaned = found.mapInArrow(cut, found.schema)
-    return cleaned.select(*((F.col("text") if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)))
+    return found.mapInArrow(cut, found.schema).select(*(back[c] for c in names))

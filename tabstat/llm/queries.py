@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabstat.llm import decontaminate, jaccard, quality, substrings, suffixes
+from tabstat.llm import decontaminate, html, jaccard, licenses, packing, quality, spread, substrings, suffixes, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "n_words", "shard", "bin", "place", "capacity")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extract(_read(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = spread.write_table(warc.write_packages(_read(spark, sf_dir, "pages")))
+    out = warc.read_packages(packages)
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.judge(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return decontaminate.leak_digest(found).select(
@@ -39,12 +60,20 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.size("licenses").cast("bigint").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op5_decontamination, op6_ngram_jaccard_join, op7_substring_dedup, op8_suffix_array_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_html_extraction, op3_warc, op4_url_filters, op5_decontamination, op6_ngram_jaccard_join,
+    op7_substring_dedup, op8_suffix_array_dedup, op9_license_scan, op10_quality_rules,
+)}
 
 _BLANK = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -55,7 +84,8 @@ QUALITY_SQL = rf"""
 d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_BLANK}) AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
 again AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY 1),
-line AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ 	-]') GROUP BY 1),
+line AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ 	-
+]') GROUP BY 1),
 word AS (SELECT doc_id, i, CAST('0x' || substr(md5(w), 1, 15) AS BIGINT) AS x FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM d)),
 gram AS (SELECT doc_id, x % 16384 AS b FROM word UNION ALL SELECT doc_id, (x % 1048576 * 31 + y) % 16384 FROM (SELECT doc_id, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM word) WHERE y IS NOT NULL),
 target AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL) ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 20000),
@@ -71,6 +101,36 @@ base AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_
 judged AS (SELECT * EXCLUDE (good), NOT base_failed AND good AS kept FROM base)"""
 
 ORACLE_SQL = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to FROM m""",
+    "op4_url_filters": rf"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), {_UPPER}, {_LOWER}) AS host,
+  regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(name, verdict, host, path) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'),
+  ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
+u AS (SELECT DISTINCT host, path FROM p),
+listed AS (SELECT u.host, u.path, arg_max(name, length(name)) AS rule, arg_max(verdict, length(name)) AS verdict FROM u JOIN r
+  ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY 1, 2),
+tok AS (SELECT DISTINCT host, path, t FROM (
+  SELECT host, path, 'h:' || x AS t FROM (SELECT host, path, unnest(string_split(host, '.')) AS x FROM u) WHERE x <> '' UNION ALL
+  SELECT host, path, 'p:' || x FROM (SELECT host, path, unnest(regexp_split_to_array(lower(path), '[^\p{{L}}\p{{N}}]+')) AS x FROM u) WHERE x <> '')),
+bad AS (SELECT doc_id AS page_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+known AS (SELECT row_number() OVER () AS k, host, path, bad FROM p JOIN bad USING (page_id) WHERE host <> ''),
+least AS (SELECT greatest(ceil(0.001 * count(*)), 5) AS n FROM known),
+kt AS (SELECT k, t, bad FROM known JOIN tok USING (host, path)),
+one AS (SELECT k, [t] AS a, t AS top, bad FROM kt),
+two AS (SELECT one.k, list_append(a, kt.t) AS a, kt.t AS top, one.bad FROM one JOIN kt ON one.k = kt.k AND kt.t > top),
+three AS (SELECT two.k, list_append(a, kt.t) AS a, kt.t AS top, two.bad FROM two JOIN kt ON two.k = kt.k AND kt.t > top),
+mined AS (SELECT a FROM (SELECT a, bad FROM one UNION ALL SELECT a, bad FROM two UNION ALL SELECT a, bad FROM three) GROUP BY a
+  HAVING sum(bad) >= (SELECT n FROM least) AND sum(bad) >= 0.5 * count(*)),
+own AS (SELECT host, path, list(t) AS ts FROM tok GROUP BY 1, 2),
+hit AS (SELECT DISTINCT host, path FROM own, mined WHERE list_has_all(ts, a))
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN hit.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN listed ON p.host = listed.host AND p.path = listed.path LEFT JOIN hit ON p.host = hit.host AND p.path = hit.path""",
     "op5_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), {_ALNUM}) AS ws FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), {_ALNUM}) AS ws FROM benchmark),

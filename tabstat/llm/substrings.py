@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabstat.llm import kernel as K
 from tabstat.llm import spread as S
@@ -212,3 +213,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return cut(table, flagged) if table.num_rows else empty.empty_table()
 
     return placed.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(cut_or_nothing, schema)
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length_col: str = "n_chars", **how) -> DataFrame:
+    """docs with repeated passages cut from the text, and their own columns.
+
+    A document that loses all its words goes; one that loses none stays as it is.
+    Where length_col exists, it is set to the new text's length for documents that lose words.
+    """
+    names = docs.columns
+    others = [c for c in names if c != text_col]
+    out = remove_repeats(docs, id_col, text_col, carry=others, layout="text", **how)
+    back = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_col: F.col("kept")}
+    if length_col in others:
+        back[length_col] = F.when(F.col("n_removed") > 0, F.char_length("kept").cast(docs.schema[length_col].dataType)).otherwise(back[length_col])
+    return out.where("n_removed = 0 OR n_removed < n_words").select(*(back[c].alias(c) for c in names))
