@@ -221,12 +221,31 @@ def cross_pairs(token: np.ndarray, component: np.ndarray, step: int = 1 << 20):
         low = high
 
 
+#: Columns of pairs on their way: groups, sizes, shared shingles.
+_PAIR = {"ga": np.int64, "gb": np.int64, "na": np.int32, "nb": np.int32, "met": np.int32}
+
+
+def _fold(parts: list[np.ndarray]) -> np.ndarray:
+    """Columns (ga, gb, na, nb, met), one for each pair, met summed."""
+    rows = np.concatenate(parts, axis=1)
+    rows = rows[:, np.lexsort(rows[1::-1])]
+    if not rows.shape[1]:
+        return rows
+    new = np.flatnonzero(np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))))
+    return np.concatenate((rows[:4, new], np.add.reduceat(rows[4], new)[None]))
+
+
+def _send(rows: np.ndarray, log_p: int) -> pa.RecordBatch:
+    both = rows[0].view(np.uint64) ^ K.mix(rows[1].view(np.uint64))
+    return S.route(S.part_of(K.mix(both), log_p), {c: rows[i].astype(k) for i, (c, k) in enumerate(_PAIR.items())})
+
+
 def _remaining(posts: DataFrame, members: DataFrame, log_p: int, percent: int) -> DataFrame:
     """Class pairs across components that pass the filters. members: grp, key, component.
 
     Besides size and position, a pair must share enough of its prefixes: what two
     sets share lies in both prefixes, or past the prefix of the one whose prefix
-    ends first.
+    ends first. Pairs travel packed to where all their shingles are counted.
     """
     parts = members.select("grp", "component").distinct()
     entries = posts.join(parts, "grp").select("token", "grp", "n", "pos", "component")
@@ -238,34 +257,32 @@ def _remaining(posts: DataFrame, members: DataFrame, log_p: int, percent: int) -
         n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos"))
         order = np.lexsort((grp, n, token))
         token, grp, component, n, pos = token[order], grp[order], component[order], n[order], pos[order]
-        done, held, waiting = np.empty((7, 0), np.int64), [], 0
-
-        def fold():
-            rows = np.concatenate([done, *held], axis=1)
-            rows = rows[:, np.lexsort(rows[:4])]
-            new = np.flatnonzero(np.concatenate(([True], (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)))) if rows.shape[1] else np.empty(0, np.int64)
-            return np.concatenate((rows[:6, new], np.add.reduceat(rows[6], new)[None] if len(new) else rows[6:, :0]))
-
+        done, held, waiting = np.empty((5, 0), np.int64), [], 0
         for i, j in cross_pairs(token, component):
             ok = can_link(n[i], pos[i], n[j], pos[j], percent)
             i, j = i[ok], j[ok]
             swap = grp[i] > grp[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            held.append(np.stack((grp[i], component[i], grp[j], component[j], n[i], n[j], np.ones(len(i), np.int64))))
+            held.append(np.stack((grp[i], grp[j], n[i], n[j], np.ones(len(i), np.int64))))
             waiting += len(i)
             if waiting > 500_000:
-                done, held, waiting = fold(), [], 0
-        done = fold()
-        return pa.table({c: pa.array(x) for c, x in zip(("ga", "ca", "gb", "cb", "na", "nb", "met"), done, strict=True)})
-
-    pairs = entries.groupBy("part").applyInArrow(pair, "ga bigint, ca bigint, gb bigint, cb bigint, na bigint, nb bigint, met bigint")
-    pairs = pairs.groupBy("ga", "ca", "gb", "cb", "na", "nb").agg(F.sum("met").alias("met"))
-    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9)
-    past = F.ceil(F.greatest("na", "nb") * percent / 100 - 1e-9) - 1
-    pairs = pairs.where(F.col("met") + past >= need).drop("met", "na", "nb")
+                done, held, waiting = _fold([done, *held]), [], 0
+        return pa.Table.from_batches([_send(_fold([done, *held]), log_p)])
+
+    def merge(table: pa.Table) -> pa.Table:
+        # The pair's lists meet here: how many prefix shingles it shares in all decides.
+        ga, gb, na, nb, met = _fold([np.stack([S.unpack(table, c, k).astype(np.int64) for c, k in _PAIR.items()])])
+        need = -(-percent * (na + nb) // (100 + percent))
+        past = -(-percent * np.maximum(na, nb) // 100) - 1
+        fit = met + past >= need
+        return pa.table({"ga": pa.array(ga[fit]), "gb": pa.array(gb[fit])})
+
+    sent = entries.groupBy("part").applyInArrow(pair, "part int, " + ", ".join(f"{c} binary" for c in _PAIR))
+    pairs = sent.groupBy("part").applyInArrow(merge, "ga bigint, gb bigint")
     a = members.select(F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("key").alias("a"))
     b = members.select(F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("key").alias("b"))
-    return pairs.join(a, ["ga", "ca"]).join(b, ["gb", "cb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    both = pairs.join(a, "ga").join(b, "gb").where("ca <> cb")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame, log_p: int, size: int) -> DataFrame:

@@ -241,7 +241,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("length must be 40 to 255 bytes, and anchor 8 to length")
     S.tune(docs.sparkSession)
     rows = S.texts(docs, id_col, text_col)
-    log_p = S.log_parts(rows)
+    # Sorting takes some 300 bytes for each byte of repeated text, so reducers get a quarter of the usual share.
+    log_p = S.log_parts(rows) + 2
     flags = repeats(rows, log_p, length, anchor)
 
     def cut(table: pa.Table, flagged: pa.Table) -> pa.Table:
