@@ -79,7 +79,7 @@ def _scan(docs: DataFrame, block, first: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     carried = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name[0] == "c" and f.name[1:].isdigit()]
-    return docs.mapInArrow(scan, ", ".join([_HITS.replace("id bigint,", "id bigint, text string,"), *carried]))
+    return docs.mapInArrow(S.lean(scan), ", ".join([_HITS.replace("id bigint,", "id bigint, text string,"), *carried]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_col: str = "item_id", item_text_col: str = "text", n: int = N, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -160,4 +160,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 out.append(data[keep].tobytes().decode())
             yield pa.RecordBatch.from_arrays([batch.column(j) if c != "text" else pa.array(out, pa.string()) for j, c in enumerate(batch.schema.names)], batch.schema.names)
 
-    return found.mapInArrow(cut, found.schema).select(*(back[c] for c in names))
+    return found.mapInArrow(S.lean(cut), found.schema).select(*(back[c] for c in names))

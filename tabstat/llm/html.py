@@ -212,7 +212,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     found[h, p] = found.get((h, p), 0) + 1
             yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in found], pa.string()), "subtree": pa.array([k[1] for k in found], pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
 
-    counts = rows.select("host", "html").mapInArrow(count, "host string, subtree bigint, n bigint").groupBy("host", "subtree").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
+    counts = rows.select("host", "html").mapInArrow(S.lean(count), "host string, subtree bigint, n bigint").groupBy("host", "subtree").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
     # At most 1 / min_share subtrees for each one of an average page: a host's list is as short as a page.
     frequent = F.expr("filter(collect_list(struct(subtree, n)), x -> x.subtree >= 0)")
     lists = counts.groupBy("host").agg(frequent.alias("found"), F.max(F.when(F.col("subtree") == -1, F.col("n"))).alias("pages"))
@@ -231,4 +231,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 out.append(main_text(page, frozenset(own or ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
 
-    return rows.mapInArrow(strip, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string")
+    return rows.mapInArrow(S.lean(strip), f"id {rows.schema['id'].dataType.simpleString()}, url string, text string")

@@ -93,7 +93,7 @@ def _profile(rows: DataFrame, size: int, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "n": pa.array(np.concatenate(n)), "key": pa.array(np.concatenate(key)), "block": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
         yield pa.RecordBatch.from_pydict({"id": pa.nulls(_BLOCKS, pa.int64()), "n": pa.nulls(_BLOCKS, pa.int64()), "key": pa.nulls(_BLOCKS, pa.int64()), "block": pa.array(range(_BLOCKS), pa.int32()), "counts": pa.array([counts[i * width : (i + 1) * width].tobytes() for i in range(_BLOCKS)], pa.binary())})
 
-    return rows.select("id", "text").mapInArrow(scan, "id bigint, n bigint, key bigint, block int, counts binary")
+    return rows.select("id", "text").mapInArrow(S.lean(scan), "id bigint, n bigint, key bigint, block int, counts binary")
 
 
 def _sketch(profile: DataFrame, bits: int) -> np.ndarray:
@@ -104,7 +104,7 @@ def _sketch(profile: DataFrame, bits: int) -> np.ndarray:
         return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([np.minimum(np.sum(parts, axis=0, dtype=np.uint64), 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
     out = np.zeros((_BLOCKS, (1 << bits) // _BLOCKS), np.uint32)
-    for row in profile.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+    for row in profile.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(S.lean_group(add), "block int, counts binary").collect():
         out[row.block] = np.frombuffer(row.counts, np.uint32)
     return out.reshape(-1)
 
@@ -159,7 +159,7 @@ def _postings(rows: DataFrame, sketch, bits: int, log_p: int, size: int, percent
         shared = same | np.concatenate(([False], same[:-1])) | (kind > 0)
         return pa.table({"kind": pa.array(kind[shared].astype(np.int32)), "token": pa.array(token[shared].view(np.int64)), "grp": pa.array(grp[shared].view(np.int64)), "n": pa.array(n[shared]), "pos": pa.array(pos[shared])})
 
-    return rows.select("id", "text").mapInArrow(scan, _POST).groupBy("part").applyInArrow(meet, "kind int, token bigint, grp bigint, n int, pos int")
+    return rows.select("id", "text").mapInArrow(S.lean(scan), _POST).groupBy("part").applyInArrow(S.lean_group(meet), "kind int, token bigint, grp bigint, n int, pos int")
 
 
 def can_link(na: np.ndarray, at_a: np.ndarray, nb: np.ndarray, at_b: np.ndarray, percent: int) -> np.ndarray:
@@ -277,8 +277,8 @@ def _remaining(posts: DataFrame, members: DataFrame, log_p: int, percent: int) -
         fit = met + past >= need
         return pa.table({"ga": pa.array(ga[fit]), "gb": pa.array(gb[fit])})
 
-    sent = entries.groupBy("part").applyInArrow(pair, "part int, " + ", ".join(f"{c} binary" for c in _PAIR))
-    pairs = sent.groupBy("part").applyInArrow(merge, "ga bigint, gb bigint")
+    sent = entries.groupBy("part").applyInArrow(S.lean_group(pair), "part int, " + ", ".join(f"{c} binary" for c in _PAIR))
+    pairs = sent.groupBy("part").applyInArrow(S.lean_group(merge), "ga bigint, gb bigint")
     a = members.select(F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("key").alias("a"))
     b = members.select(F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("key").alias("b"))
     both = pairs.join(a, "ga").join(b, "gb").where("ca <> cb")
@@ -300,7 +300,7 @@ def _fetch(rows: DataFrame, wanted: DataFrame, log_p: int, size: int) -> DataFra
                 key.append(class_key(*sets.prints(), sets.n))
             yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(key)), "rep": pa.array(ids[mine]), "text": text})
 
-    found = rows.select("id", "text").mapInArrow(scan, "key bigint, rep bigint, text string")
+    found = rows.select("id", "text").mapInArrow(S.lean(scan), "key bigint, rep bigint, text string")
     return found.join(wanted, ["key", "rep"], "left_semi").dropDuplicates(["key"])
 
 
@@ -325,7 +325,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
     left = texts.select(F.col("key").alias("a"), F.col("rep").alias("ra"), F.col("text").alias("ta"))
     right = texts.select(F.col("key").alias("b"), F.col("rep").alias("rb"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("ra", "rb", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("ra", "rb", "ta", "tb").mapInArrow(S.lean(check), "a bigint, b bigint")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

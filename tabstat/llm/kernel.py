@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text handled at once, in bytes; one longer text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _BASES = {0: 0x9E3779B97F4A7C15, 1: 0xD1342543DE82EF95}

@@ -125,4 +125,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tem
                 ["id", "licenses", "spans"],
             )
 
-    return S.texts(docs, id_col, text_col).mapInArrow(find, "id bigint, licenses array<string>, spans array<struct<license: string, start: bigint, share: int>>")
+    return S.texts(docs, id_col, text_col).mapInArrow(S.lean(find), "id bigint, licenses array<string>, spans array<struct<license: string, start: bigint, share: int>>")

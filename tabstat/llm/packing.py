@@ -108,5 +108,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "piece", "start", "n_words", "shard", "bin", "place", "capacity"])
 
-    lengths = rows.mapInArrow(measure, "id bigint, n bigint, key bigint, shard int")
-    return lengths.groupBy("shard").applyInArrow(fill, "id bigint, piece int, start bigint, n_words bigint, shard int, bin int, place int, capacity int")
+    lengths = rows.mapInArrow(S.lean(measure), "id bigint, n bigint, key bigint, shard int")
+    return lengths.groupBy("shard").applyInArrow(S.lean_group(fill), "id bigint, piece int, start bigint, n_words bigint, shard int, bin int, place int, capacity int")

@@ -7,6 +7,7 @@ millions of small ones, and the reducer works on arrays at once.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,13 +20,54 @@ from pyspark.sql import functions as F
 from tabstat.llm import kernel as K
 
 #: Corpus bytes that one reducer handles; the number of reducers follows the input.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: Bits of a bitmap of hashes, whatever the input: 16 MB. Past its capacity it lets more through, and never less.
 BITMAP_BITS = 27
 #: Value that stands for a null document id: it sorts after every other.
 NULL_ID = np.iinfo(np.int64).max
 
 
+def _trim() -> None:
+    """Gives freed memory back: idle Python workers stay alive beside the busy ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(scan):
+    """scan, for mapInArrow, with its memory given back at the end of a partition."""
+
+    def run(batches):
+        yield from scan(batches)
+        _trim()
+
+    return run
+
+
+def lean_group(settle):
+    """settle, for applyInArrow on groups, with its memory given back after each group."""
+
+    def run(table):
+        out = settle(table)
+        _trim()
+        return out
+
+    return run
+
+
+def lean_cogroup(settle):
+    """settle, for applyInArrow on pairs of groups, with its memory given back after each pair."""
+
+    def run(left, right):
+        out = settle(left, right)
+        _trim()
+        return out
+
+    return run
+
+
 def tune(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds: rows of any length then fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -114,6 +156,11 @@ def part_of(h: np.ndarray, log_p: int) -> np.ndarray:
     return (h >> np.uint64(64 - log_p)).astype(np.int32)
 
 
+def spread_out(h: np.ndarray) -> np.ndarray:
+    """Hashes that were chosen for being small, dealt evenly again."""
+    return K.mix(h ^ np.uint64(0xA0761D6478BD642F))
+
+
 def row_part(ids: np.ndarray, keys: np.ndarray, log_p: int) -> np.ndarray:
     """Part of a row: by id and text, so that neither copies of a text nor a repeated id pile up."""
     return part_of(K.mix(keys ^ K.mix(ids.view(np.uint64))), log_p)
@@ -126,7 +173,7 @@ class HashSet:
         self.log_p, self.held = log_p, []
 
     def add(self, h: np.ndarray) -> None:
-        self.held.append(h)
+        self.held.append(spread_out(h))
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
@@ -163,13 +210,13 @@ def bitmap(hashes: DataFrame, log_p: int, repeated: bool) -> np.ndarray:
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     out = np.zeros((1 << log_p, 1 << (BITMAP_BITS - log_p - 3)), np.uint8)
-    for row in hashes.groupBy("part").applyInArrow(block, "part int, bits binary").collect():
+    for row in hashes.groupBy("part").applyInArrow(lean_group(block), "part int, bits binary").collect():
         out[row.part] = np.frombuffer(row.bits, np.uint8)
     return out.reshape(-1)
 
 
 def in_bitmap(bits: np.ndarray, h: np.ndarray, log_p: int) -> np.ndarray:
-    at = slot(h, log_p).astype(np.int64)
+    at = slot(spread_out(h), log_p).astype(np.int64)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
@@ -182,7 +229,7 @@ def id_hashes(ids: DataFrame, log_p: int) -> DataFrame:
             found.add(K.mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
             yield from found.flush()
 
-    return ids.mapInArrow(pack, HASHES)
+    return ids.mapInArrow(lean(pack), HASHES)
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:

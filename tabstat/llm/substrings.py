@@ -54,7 +54,7 @@ def seeds(rows: DataFrame, log_p: int, window: int, anchor: int, inside: np.ndar
                 found.add(grams[np.unique(place)])
             yield from found.flush()
 
-    return S.bitmap(rows.select("id", "text").mapInArrow(scan, S.HASHES), log_p, repeated=True)
+    return S.bitmap(rows.select("id", "text").mapInArrow(S.lean(scan), S.HASHES), log_p, repeated=True)
 
 
 def _first(h1, h2, doc, pos) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def repeats(rows: DataFrame, log_p: int, window: int, anchor: int, inside: np.nd
         at = at[np.lexsort((pos[at], key[at]))]
         return pa.Table.from_batches([S.route(S.row_part(doc[at], key[at], log_p), {"id": doc[at], "text_key": key[at], "pos": pos[at]})])
 
-    return rows.select("id", "text").mapInArrow(extend, _ENTRY).groupBy("part").applyInArrow(settle, _FLAG)
+    return rows.select("id", "text").mapInArrow(S.lean(extend), _ENTRY).groupBy("part").applyInArrow(S.lean_group(settle), _FLAG)
 
 
 def with_part(rows: DataFrame, log_p: int) -> DataFrame:
@@ -118,7 +118,7 @@ def with_part(rows: DataFrame, log_p: int) -> DataFrame:
                 part.append(S.row_part(ids[low:high], S.text_keys(data, offsets), log_p))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), *batch.columns], ["part", *batch.schema.names])
 
-    return rows.mapInArrow(add, "part int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+    return rows.mapInArrow(S.lean(add), "part int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
 
 
 def flag_index(flags: pa.Table) -> dict[tuple[int, int], np.ndarray]:
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut_or_nothing(table: pa.Table, flagged: pa.Table) -> pa.Table:
         return cut(table, flagged) if table.num_rows else empty.empty_table()
 
-    return placed.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(cut_or_nothing, schema)
+    return placed.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(S.lean_cogroup(cut_or_nothing), schema)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length_col: str = "n_chars", **how) -> DataFrame:

@@ -149,7 +149,7 @@ def seeds(rows: DataFrame, log_p: int, length: int, anchor: int) -> np.ndarray:
                 found.add(grams[place[K.runs(place)]])
             yield from found.flush()
 
-    return S.bitmap(rows.select("id", "text").mapInArrow(scan, S.HASHES), log_p, repeated=True)
+    return S.bitmap(rows.select("id", "text").mapInArrow(S.lean(scan), S.HASHES), log_p, repeated=True)
 
 
 def repeats(rows: DataFrame, log_p: int, length: int, anchor: int) -> DataFrame:
@@ -165,7 +165,7 @@ def repeats(rows: DataFrame, log_p: int, length: int, anchor: int) -> DataFrame:
         least[order] = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
         settled = doc > least
         size = n.astype(np.int64) + length - 1
-        part = np.where(settled, S.row_part(doc, key, log_p), S.part_of(h, log_p))
+        part = np.where(settled, S.row_part(doc, key, log_p), S.part_of(S.spread_out(h), log_p))
         out = S.route(part, {"kind": settled.astype(np.uint8), "n": n, "id": doc, "text_key": key, "pos": pos})
         by_part = np.argsort(part, kind="stable")
         size, at = np.where(settled, 0, size)[by_part], (np.cumsum(size) - size)[by_part]
@@ -223,7 +223,7 @@ def repeats(rows: DataFrame, log_p: int, length: int, anchor: int) -> DataFrame:
         owner, at, span = owner[order], at[order], span[order].astype(np.int32)
         return pa.Table.from_batches([S.route(S.row_part(doc[owner], key[owner], log_p), {"id": doc[owner], "text_key": key[owner], "pos": at, "length": span})])
 
-    return rows.select("id", "text").mapInArrow(collect, _ITEM).groupBy("part").applyInArrow(settle, _FLAG)
+    return rows.select("id", "text").mapInArrow(S.lean(collect), _ITEM).groupBy("part").applyInArrow(S.lean_group(settle), _FLAG)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -241,8 +241,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("length must be 40 to 255 bytes, and anchor 8 to length")
     S.tune(docs.sparkSession)
     rows = S.texts(docs, id_col, text_col)
-    # Sorting takes some 300 bytes for each byte of repeated text, so reducers get a quarter of the usual share.
-    log_p = S.log_parts(rows) + 2
+    # Sorting takes some 300 bytes for each byte of repeated text, so reducers get half of the usual share.
+    log_p = S.log_parts(rows) + 1
     flags = repeats(rows, log_p, length, anchor)
 
     def cut(table: pa.Table, flagged: pa.Table) -> pa.Table:
@@ -277,4 +277,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = {"id": pa.chunked_array(ids_out, pa.int64()), **{c: pa.array(np.concatenate(v).astype(np.int64)) for c, v in zip(names, columns, strict=True)}, "kept": pa.chunked_array(kept, pa.binary())}
         return pa.table(out)
 
-    return with_part(rows, log_p).groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return with_part(rows, log_p).groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(S.lean_cogroup(cut), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

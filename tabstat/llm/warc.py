@@ -211,7 +211,7 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if package.lines:
             yield pa.RecordBatch.from_pydict({"content": pa.array([package.close()], pa.binary())})
 
-    return rows.mapInArrow(write, "content binary")
+    return rows.mapInArrow(S.lean(write), "content binary")
 
 
 def read_packages(packages: DataFrame, content_col: str = "content") -> DataFrame:
@@ -243,4 +243,4 @@ def read_packages(packages: DataFrame, content_col: str = "content") -> DataFram
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
 
-    return packages.select(content_col).mapInArrow(read, "id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary")
+    return packages.select(content_col).mapInArrow(S.lean(read), "id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary")
