@@ -26,6 +26,8 @@ from tabstat.llm import spread as S
 MIN_SHARED = 1000
 #: Payload bytes after which a task starts the next package.
 PACKAGE_BYTES = 4 << 20
+#: Most shared digests that are broadcast (some 50 bytes each).
+BROADCAST_DIGESTS = 200_000
 _DATE = "2024-01-01T00:00:00Z"
 _MAX32, _MAX16 = 0xFFFFFFFF, 0xFFFF
 
@@ -197,7 +199,9 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(pages[id_col].cast("bigint").alias("id"), F.coalesce(pages[url_col].cast("string"), F.lit("")).alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.when((F.octet_length("html") >= min_shared) & F.col("id").isNotNull(), F.sha1(F.col("html").cast("binary"))))
     first = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("c")).where("c > 1").select("digest", "keeper")
-    rows = rows.join(first, "digest", "left").select("id", "url", "html", F.when(F.col("keeper") != F.col("id"), F.col("keeper")).alias("refers_to"))
+    first = S.write_table(first)
+    # Digests that several pages share: broadcast while they are few, joined with their pages beyond that.
+    rows = rows.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first, "digest", "left").select("id", "url", "html", F.when(F.col("keeper") != F.col("id"), F.col("keeper")).alias("refers_to"))
 
     def write(batches):
         package = _Package()
