@@ -24,7 +24,8 @@ _Z = 1.96
 
 def series(df: DataFrame, value: str, order_by: Sequence[str]) -> DataFrame:
     """(t, y) with t = 0, 1, ... Null values are left out."""
-    return number(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("y"), *(c for c in order_by if c != "y")), order_by, "t").select("t", "y")
+    keys = [f"_o{i}" for i in range(len(order_by))]
+    return number(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("y"), *(F.col(c).alias(k) for c, k in zip(order_by, keys, strict=True))), keys, "t").select("t", "y")
 
 
 def difference(s: DataFrame, lag: int = 1) -> DataFrame:

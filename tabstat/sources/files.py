@@ -12,12 +12,12 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*(F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in df.schema))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, schema: str | T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, schema: str | T.StructType | None = None, nan: str = "NaN") -> DataFrame:
     """A delimited file. Without a schema, types are inferred by column; without a header, columns are c1, c2, ...
 
-    Empty cells are null. A column of true and false is boolean. A missing file raises.
+    Empty cells and cells that say ``nan`` are null. A column of true and false is boolean. A missing file raises.
     """
-    reader = spark.read.option("sep", sep).option("header", header).option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    reader = spark.read.option("sep", sep).option("header", header).option("mode", "FAILFAST").option("nanValue", nan).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
     df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     if not header and schema is None:
         df = df.toDF(*(f"c{i + 1}" for i in range(len(df.columns))))
