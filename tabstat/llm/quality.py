@@ -18,11 +18,12 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Buckets of the two multinomials: the model is this many numbers at any input size.
 BUCKETS = 1 << 14
+#: Share of a uniform distribution that is mixed into both, so that smoothing weighs alike at any corpus size.
 SMOOTHING = 1.0
 #: Target documents: at most so many trusted labels, those with the least md5 of the id.
 TARGET_DOCUMENTS = 20_000
 #: Least mean log ratio of a kept document, in millionths.
-THRESHOLD = -52_000
+THRESHOLD = -65_000
 
 
 def words_of(text: Column) -> Column:
@@ -70,8 +71,8 @@ def weights(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_co
     counts = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
     # The window is over the buckets, whose number is fixed.
     total = counts.agg(F.sum("r").alias("rs"), F.sum("t").alias("ts"), F.array_sort(F.collect_list(F.struct("b", "r", "t"))).alias("c"))
-    a = f"{smoothing!r}D"
-    return total.select(F.expr(f"transform(c, x -> CASE WHEN ts = 0 THEN 0L ELSE cast(round((ln((x.t + {a}) / (ts + {a} * {buckets})) - ln((x.r + {a}) / (rs + {a} * {buckets}))) * 1e6D) AS bigint) END)").alias("weights"))
+    a = f"{smoothing / buckets!r}D"
+    return total.select(F.expr(f"transform(c, x -> CASE WHEN ts = 0 THEN 0L ELSE cast(round((ln(cast(x.t AS double) / ts + {a}) - ln(cast(x.r AS double) / rs + {a})) * 1e6D) AS bigint) END)").alias("weights"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, label_id_col: str = "doc_id", buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: int = THRESHOLD, most: int = TARGET_DOCUMENTS, window: int = WINDOW, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:

@@ -79,6 +79,7 @@ _BLANK = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
+_SHARE = 1.0 / 16384
 #: The rules' counts and the hashed n-gram verdict of every document.
 QUALITY_SQL = rf"""
 d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_BLANK}) AS ws FROM documents),
@@ -91,12 +92,12 @@ gram AS (SELECT doc_id, x % 16384 AS b FROM word UNION ALL SELECT doc_id, (x % 1
 target AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL) ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 20000),
 c AS (SELECT b, count(*) AS r, count(target.doc_id) AS t FROM gram LEFT JOIN target USING (doc_id) GROUP BY 1),
 dense AS (SELECT b, coalesce(r, 0) AS r, coalesce(t, 0) AS t, sum(coalesce(r, 0)) OVER () AS rs, sum(coalesce(t, 0)) OVER () AS ts FROM (SELECT unnest(range(16384)) AS b) LEFT JOIN c USING (b)),
-weight AS (SELECT b, CASE WHEN ts = 0 THEN 0 ELSE CAST(round((ln((t + 1.0::DOUBLE) / (ts + 1.0::DOUBLE * 16384)) - ln((r + 1.0::DOUBLE) / (rs + 1.0::DOUBLE * 16384))) * 1e6::DOUBLE) AS BIGINT) END AS w FROM dense),
+weight AS (SELECT b, CASE WHEN ts = 0 THEN 0 ELSE CAST(round((ln(t::DOUBLE / ts + {_SHARE!r}::DOUBLE) - ln(r::DOUBLE / rs + {_SHARE!r}::DOUBLE)) * 1e6::DOUBLE) AS BIGINT) END AS w FROM dense),
 score AS (SELECT doc_id, sum(w) AS s FROM gram JOIN weight USING (b) GROUP BY 1),
 base AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(line.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words,
-  len(ws) < 20 OR 100 * coalesce(again.n, 0) > 30 * len(ws) AS base_failed, coalesce(s, 0) >= -52000 * greatest(2 * len(ws) - 1, 0) AS good
+  len(ws) < 20 OR 100 * coalesce(again.n, 0) > 30 * len(ws) AS base_failed, coalesce(s, 0) >= -65000 * greatest(2 * len(ws) - 1, 0) AS good
   FROM d LEFT JOIN line USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN score USING (doc_id)),
 judged AS (SELECT * EXCLUDE (good), NOT base_failed AND good AS kept FROM base)"""
 

@@ -180,7 +180,8 @@ class HashSet:
             h, n = np.unique(np.concatenate(self.held), return_counts=True)
             self.held = []
             if len(h):
-                yield route(part_of(h, self.log_p), {"h": h, "many": (n > 1).astype(np.uint8)})
+                # 32 bits and the part tell hashes apart; two that are taken for one only let more through the bitmap.
+                yield route(part_of(h, self.log_p), {"h": h.astype(np.uint32), "many": (n > 1).astype(np.uint8)})
 
 
 HASHES = "part int, h binary, many binary"
@@ -196,7 +197,7 @@ def bitmap(hashes: DataFrame, log_p: int, repeated: bool) -> np.ndarray:
         raise ValueError("too many parts for the bitmap")
 
     def block(table: pa.Table) -> pa.Table:
-        h = unpack(table, "h", np.uint64)
+        h = unpack(table, "h", np.uint32)
         if repeated:
             many = unpack(table, "many", np.uint8)
             order = np.argsort(h, kind="stable")
@@ -206,7 +207,7 @@ def bitmap(hashes: DataFrame, log_p: int, repeated: bool) -> np.ndarray:
             keep = (ends - first > 1) | (np.maximum.reduceat(many[order], first) > 0) if len(h) else first > 0
             h = h[first][keep]
         bits = np.zeros(1 << (BITMAP_BITS - log_p), bool)
-        bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        bits[(h & np.uint32(len(bits) - 1)).astype(np.int64)] = True
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     out = np.zeros((1 << log_p, 1 << (BITMAP_BITS - log_p - 3)), np.uint8)

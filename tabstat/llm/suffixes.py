@@ -24,7 +24,7 @@ ANCHOR = 16
 #: Depth in bytes at which quicksort hands over to blind tries.
 SHALLOW = 32
 #: Text that a task gathers before it sends it on, in bytes.
-FLUSH_BYTES = 4 << 20
+FLUSH_BYTES = 8 << 20
 
 _ITEM = "part int, kind binary, n binary, id binary, text_key binary, pos binary, context binary"
 _FLAG = "part int, id binary, text_key binary, pos binary, length binary"
@@ -158,6 +158,10 @@ def repeats(rows: DataFrame, log_p: int, length: int, anchor: int) -> DataFrame:
 
     def pack(held):
         h, off, n, doc, key, pos, s0, s1, text = map(np.concatenate, zip(*held, strict=True))
+        at = np.cumsum(n.astype(np.int64) + length - 1) - (n.astype(np.int64) + length - 1)
+        # Stretches around one anchor are alike: side by side, they compress to little.
+        alike = np.lexsort((s0, h))
+        h, off, n, doc, key, pos, s0, s1, at = (x[alike] for x in (h, off, n, doc, key, pos, s0, s1, at))
         # A stretch that a smaller id has whole among those held is settled here and needn't travel with its text.
         order = np.lexsort((doc, off, s1, s0))
         new = np.concatenate(([True], (np.diff(s0[order]) != 0) | (np.diff(s1[order]) != 0) | (off[order][1:] != off[order][:-1])))
@@ -168,7 +172,7 @@ def repeats(rows: DataFrame, log_p: int, length: int, anchor: int) -> DataFrame:
         part = np.where(settled, S.row_part(doc, key, log_p), S.part_of(S.spread_out(h), log_p))
         out = S.route(part, {"kind": settled.astype(np.uint8), "n": n, "id": doc, "text_key": key, "pos": pos})
         by_part = np.argsort(part, kind="stable")
-        size, at = np.where(settled, 0, size)[by_part], (np.cumsum(size) - size)[by_part]
+        size, at = np.where(settled, 0, size)[by_part], at[by_part]
         moved = K.gather(text, at, size)
         ends = np.cumsum(size)
         first = K.runs(part[by_part])
