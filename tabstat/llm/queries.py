@@ -79,6 +79,7 @@ _BLANK = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in licenses.TEMPLATES)
 _SHARE = 1.0 / 16384
 #: The rules' counts and the hashed n-gram verdict of every document.
 QUALITY_SQL = rf"""
@@ -102,6 +103,12 @@ base AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_
 judged AS (SELECT * EXCLUDE (good), NOT base_failed AND good AS kept FROM base)"""
 
 ORACLE_SQL = {
+    # The tables' pages mark their article and use these tags inside it.
+    "op2_html_extraction": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split(regexp_replace(x, '</?(h1|p)>', chr(1), 'g'), chr(1)), lambda p: trim(regexp_replace(
+  replace(replace(replace(replace(regexp_replace(p, '</?(b|br)>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS p FROM a)
+SELECT page_id, url, array_to_string(list_filter(p, lambda x: x <> ''), chr(10) || chr(10)) AS text, CAST(length(array_to_string(list_filter(p, lambda x: x <> ''), chr(10) || chr(10))) AS BIGINT) AS n_chars FROM b""",
     "op3_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest FROM p),
@@ -174,5 +181,17 @@ kept AS (SELECT doc_id, string_agg(x, '' ORDER BY i) AS s FROM byte ANTI JOIN go
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(s, ''))) AS kept_sha256
 FROM d LEFT JOIN span USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op9_license_scan": rf"""
+WITH t(name, text) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT row_number() OVER () AS t, name, regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), {_ALNUM}) AS ws FROM t),
+ts AS (SELECT DISTINCT t, name, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT t, name, ws, unnest(range(1, len(ws) - 3)) AS i FROM tw)),
+tm AS (SELECT t, count(*) AS m, greatest(8, CAST(pow(2, ceil(log2(2 * count(*)))) AS BIGINT)) AS w FROM ts GROUP BY 1),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), {_ALNUM}) AS ws FROM documents),
+ds AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 5], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 4)) AS i FROM d)),
+hit AS (SELECT doc_id, i, t, name, g, m, w FROM ds JOIN ts USING (g) JOIN tm USING (t)),
+win AS (SELECT doc_id, name, t, a, m, count(DISTINCT g) AS n FROM (SELECT *, unnest(range(greatest(0, (i - w) // 4 * 4), i + 1, 4)) AS a FROM hit) WHERE a <= i AND i < a + w GROUP BY ALL),
+found AS (SELECT DISTINCT doc_id, name FROM win WHERE 100 * n >= 80 * m),
+own AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS s FROM found GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(s, '') AS licenses FROM d LEFT JOIN own USING (doc_id)""",
     "op10_quality_rules": f"WITH {QUALITY_SQL} SELECT * FROM judged",
 }
