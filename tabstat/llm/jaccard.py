@@ -240,9 +240,26 @@ def _send(rows: np.ndarray, log_p: int) -> pa.RecordBatch:
     return S.route(S.part_of(K.mix(both), log_p), {c: rows[i].astype(k) for i, (c, k) in enumerate(_PAIR.items())})
 
 
+def _within(members: DataFrame) -> DataFrame:
+    """Class pairs of one group and different components. members: grp, key, component.
+
+    Classes of a group share size and prefix, so every filter lets them pass. As in
+    cross_pairs, classes of the group's commonest component only meet the others.
+    """
+    tally = members.groupBy("grp", "component").agg(F.count("*").alias("c"))
+    common = tally.groupBy("grp").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("grp", F.col("most.component").alias("common"))
+    mixed = members.join(common, "grp")
+    stray = mixed.where("component <> common").select("grp", F.col("key").alias("a"), F.col("component").alias("ca"))
+    both = stray.join(mixed, "grp").where("component <> ca AND (component = common OR a < key)")
+    return both.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
+
+
 def _remaining(posts: DataFrame, members: DataFrame, log_p: int, percent: int) -> DataFrame:
     """Class pairs across components that pass the filters. members: grp, key, component.
 
+    Pairs inside a group come from its members, as its shingles are posted only if
+    another group has them; pairs of two groups come from the posts.
+
     Besides size and position, a pair must share enough of its prefixes: what two
     sets share lies in both prefixes, or past the prefix of the one whose prefix
     ends first. Pairs travel packed to where all their shingles are counted.
@@ -259,7 +276,7 @@ def _remaining(posts: DataFrame, members: DataFrame, log_p: int, percent: int) -
         token, grp, component, n, pos = token[order], grp[order], component[order], n[order], pos[order]
         done, held, waiting = np.empty((5, 0), np.int64), [], 0
         for i, j in cross_pairs(token, component):
-            ok = can_link(n[i], pos[i], n[j], pos[j], percent)
+            ok = (grp[i] != grp[j]) & can_link(n[i], pos[i], n[j], pos[j], percent)
             i, j = i[ok], j[ok]
             swap = grp[i] > grp[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -282,7 +299,8 @@ def _remaining(posts: DataFrame, members: DataFrame, log_p: int, percent: int) -
     a = members.select(F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("key").alias("a"))
     b = members.select(F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("key").alias("b"))
     both = pairs.join(a, "ga").join(b, "gb").where("ca <> cb")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    across = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+    return across.union(_within(members)).distinct()
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame, log_p: int, size: int) -> DataFrame:

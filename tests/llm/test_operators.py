@@ -222,6 +222,24 @@ def test_jaccard_family_of_near_copies(spark):
     assert {r.id: (r.n_shingles, r.component) for r in got} == want
 
 
+def test_jaccard_links_inside_a_group_without_its_head(spark):
+    """A, B and C have one prefix, a rare body; only B and C link, whichever of them is the group's head."""
+    rows = []
+    for f in range(12):
+        name = lambda kind, k, f=f: [f"{kind}{f}_{i}" for i in range(k)]
+        body, one, two, end = name("b", 25), name("p", 75), name("q", 75), name("e", 5)
+        tails = [one, two, two[:70] + end]
+        rows += [" ".join(body + t) for t in tails]
+        # Other texts make all but the body common, and post part of the body in every other family.
+        rows += [" ".join(body[-4:] + t + [f"u{f}_{i}_{j}_{k}" for k in range(60)]) for i, t in enumerate(tails) for j in range(6)]
+        rows += [" ".join(body[:8] + name("v", 10))] * (f % 2)
+    rows = list(enumerate(rows))
+    want = brute_components(rows)
+    got = jaccard.link_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.id: (r.n_shingles, r.component) for r in got} == want
+    assert sum(d != c for d, (_, c) in want.items()) == 12
+
+
 def test_cross_pairs_are_all_pairs_across_components():
     rng = np.random.default_rng(3)
     token, component = np.sort(rng.integers(0, 12, 200)), rng.integers(0, 4, 200)
