@@ -20,8 +20,6 @@ MIN_SUPPORT = 0.001
 MIN_CONFIDENCE = 0.5
 #: Fewest bad pages behind a mined rule, however few pages are labelled.
 MIN_PAGES = 5
-#: Most tokens on a mined rule's left side.
-MAX_TOKENS = 3
 _BAD = "label=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,11 +53,11 @@ def listed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return name, verdict
 
 
-def mine(pages: DataFrame, labels: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """Token combinations whose labelled pages are mostly bad: ``antecedent``, ``confidence``, ``support``.
 
     pages: key, host, path; labels: key, bad (boolean). FP-growth runs distributed
-    on the labelled pages; rules are pruned by support, confidence and length.
+    on the labelled pages; rules of any length are pruned by support and confidence.
     """
     marked = pages.join(labels, "key").select(F.array_union(tokens_of(F.col("host"), F.col("path")), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
     # Half a page less, as the product with the count is rounded up.
@@ -67,7 +65,7 @@ def mine(pages: DataFrame, labels: DataFrame, *, min_support: float = MIN_SUPPOR
     if min_support > 1:
         return marked.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(marked)
-    return model.associationRules.where((F.col("consequent")[0] == _BAD) & (F.size("antecedent") <= max_tokens)).select("antecedent", "confidence", "support")
+    return model.associationRules.where(F.col("consequent")[0] == _BAD).select("antecedent", "confidence", "support")
 
 
 def matches(pages: DataFrame, rules: DataFrame) -> DataFrame:

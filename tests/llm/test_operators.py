@@ -353,6 +353,16 @@ def test_mined_rules_block(spark):
     assert {r.id for r in got.where("verdict = 'block'").collect()} == {i for i in range(80) if i % 4 == 1}
 
 
+def test_mined_rules_of_four_tokens_block(spark):
+    """Only all four tokens together are mostly bad; any three of them are not."""
+    parts = ["a", "b", "c", "d"]
+    kinds = [parts] * 6 + [[("z" if i == j else x) for j, x in enumerate(parts)] for i in range(4)] * 8
+    rows = [(i, "http://" + "/".join(k)) for i, k in enumerate(kinds)]
+    labels = [(i, int(k != parts), 0) for i, k in enumerate(kinds)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert {r.id for r in got.where("verdict = 'block'").collect()} == set(range(6))
+
+
 # 2: html
 
 
