@@ -3,9 +3,10 @@
 A page is cut into its elements, and every element's subtree (tags and text) is
 hashed. Subtrees are counted per host in Spark; those on many pages of a host are
 its template and are deleted. Elements that say what they are (menus, headers,
-footers, notices, adverts, forms, comments) are deleted on any page. An element
-marked as the main article keeps all of its own text: the template is what lies
-around it.
+footers, notices, adverts, forms, comments) are deleted on any page. Subtrees inside
+an element marked as the main article count too, except those with its h1, the title; if
+the marked element as a whole is on as many pages, it is a copied article and keeps
+all of its text.
 """
 
 from __future__ import annotations
@@ -114,14 +115,15 @@ def walk(root: Node) -> list[Node]:
 
 
 def subtrees(root: Node) -> set[int]:
-    """Hashes of the elements around the main ones that aren't junk; sets each node's print."""
-    order = [root]
-    for node in order:
-        if not (node.junk or node.main or node.heading):
-            order += [x for x in node.children if isinstance(x, Node)]
-    found, sizes, open_ = set(), {}, {}
-    for node in reversed(order):
-        h, size, clear = xxhash.xxh64(node.tag), 0, not (node.junk or node.main or node.heading)
+    """Hashes of the elements that aren't junk, and of the main ones as a whole; sets each node's print."""
+    order = [(root, False)]
+    for node, inside in order:
+        if not node.junk and (inside or not node.heading):
+            order += [(x, inside or node.main) for x in node.children if isinstance(x, Node)]
+    found, sizes, open_, titled = set(), {}, {}, set()
+    for node, inside in reversed(order):
+        skip = node.junk or (node.heading and not inside)
+        h, size, clear = xxhash.xxh64(node.tag), 0, not skip
         node.print = 0
         if clear:
             for child in node.children:
@@ -129,13 +131,17 @@ def subtrees(root: Node) -> set[int]:
                     h.update(b"\x01%d" % child.print)
                     size += sizes.pop(id(child))
                     clear &= open_.pop(id(child))
+                    if id(child) in titled:
+                        titled.add(id(node))
                 else:
                     plain = _SPACE.sub(" ", child).strip()
                     h.update(b"\x02" + plain.encode("utf-8", "surrogatepass"))
                     size += len(plain)
             node.print = h.intdigest() & 0x7FFFFFFFFFFFFFFF
-        sizes[id(node)], open_[id(node)] = size, clear or node.junk or node.heading
-        if clear and node.tag not in ("html", "body") and size >= MIN_TEXT:
+        if inside and node.tag == "h1":
+            titled.add(id(node))
+        sizes[id(node)], open_[id(node)] = size, skip or (clear and not node.main)
+        if node.main and not skip or clear and node.tag not in ("html", "body") and size >= MIN_TEXT and id(node) not in titled:
             found.add(node.print)
     return found
 
@@ -166,13 +172,14 @@ def main_text(root: Node, template: set[int] | frozenset[int] = frozenset()) ->
 
     for top in inner or [root]:
         steps: list = [top]
+        whole = bool(inner) and top.print in template
         while steps:
             item = steps.pop()
             if item is None:
                 end()
             elif isinstance(item, str):
                 piece.append(item)
-            elif item is not top and (item.junk or (not inner and (item.heading or item.print in template))):
+            elif item is not top and (item.junk or (item.heading and not inner) or (item.print in template and not whole and not (inner and (item.main or item.tag == "h1")))):
                 if item.tag in BLOCKS:
                     end()
             elif item.tag == "br":
@@ -191,9 +198,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Main text of every page: ``id``, ``url``, ``text``, one row per input row.
 
     Character references are decoded, white space inside a block becomes one space,
-    and blocks are joined by an empty line. Template subtrees are looked up by host
-    only for pages without a marked article, so an article that a host shows on
-    many pages stays.
+    and blocks are joined by an empty line. Template subtrees are looked up by host,
+    inside a marked article too; an article that a host shows as a whole on many
+    pages stays.
 
     Null or empty html gives an empty text. Pages without a host share the empty
     host. Repeated rows each get their row and each count as a page. Other columns

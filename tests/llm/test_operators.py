@@ -386,6 +386,17 @@ def test_templates_go_by_host(spark):
     assert len(got) == len(rows)
 
 
+def test_templates_inside_marked_articles(spark):
+    notice = "<div class='box1'><p>Support our little site with a gift</p></div>"
+    kinds = {"a": "<article><header><h1>The daily column</h1></header><p>Own words of page %d</p>{}</article>", "b": "<main><div><p>Own words of page %d</p>{}</div></main>", "c": "<main><article><p>Own words of page %d</p>{}</article></main>"}
+    rows = [(100 * j + i, f"http://{h}.com/{i}", k.format(notice) % i) for j, (h, k) in enumerate(kinds.items()) for i in range(8)]
+    rows += [(900 + i, f"http://d.com/{i}", f"<article><h1>Copied article</h1><p>The same on many pages</p>{notice}</article>") for i in range(8)]
+    got = {r.id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3] == "The daily column\n\nOwn words of page 3"
+    assert got[103] == got[203] == "Own words of page 3"
+    assert got[903] == "Copied article\n\nThe same on many pages\n\nSupport our little site with a gift"
+
+
 # 3: archives
 
 
