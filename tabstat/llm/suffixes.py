@@ -5,8 +5,9 @@ share their first ``length`` bytes with another matter, so each window of that
 length is first keyed by its canonical anchor (the least hashed ``ANCHOR``-byte run
 in it, which equal windows hold at the same place), and windows whose anchor is
 unique in the corpus are out. The others, with their bytes, meet at the reducer of
-their anchor and are sorted there: multikey quicksort over 8-byte symbols down to
-SHALLOW bytes, then a blind trie for every group that still shares its prefix.
+their anchor. Whole equal stretches are settled by hash; the rest are sorted: a
+library sort symbol by symbol (8 bytes each) down to SHALLOW bytes, then a blind trie
+for every group that still shares its prefix.
 """
 
 from __future__ import annotations
