@@ -8,6 +8,8 @@ millions of small ones, and the reducer works on arrays at once.
 from __future__ import annotations
 
 import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from tabstat.llm import kernel as K
 
-#: Corpus bytes that one reducer handles; the number of reducers follows the input.
-PART_BYTES = 4 << 20
+#: Corpus bytes that one reducer handles, on inputs up to some 64 GB and beyond; the number of reducers follows the input.
+PART_BYTES = (4 << 20, 16 << 20)
+#: Text that one Arrow batch holds, in bytes, besides its last row.
+BATCH_BYTES = 4 << 20
 #: Bits of a bitmap of hashes, whatever the input: 16 MB. Past its capacity it lets more through, and never less.
 BITMAP_BITS = 27
 #: Value that stands for a null document id: it sorts after every other.
@@ -69,37 +73,88 @@ def lean_cogroup(settle):
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds: rows of any length then fit a Python worker."""
+    """Bounds what one Arrow batch holds, in rows and in bytes: it ends with the row that reaches either.
+
+    Results are lazy, so the session keeps these two settings.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, a temporary one if all run in this process, else an error."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/{context.applicationId}"
 
 
+class Scratch:
+    """Tables of one run in the shared folder: they cut lineage and survive lost executors.
+
+    free() deletes those that nothing needs any more. A run whose result doesn't
+    read its tables frees them all before it ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """df, written and read back."""
+        path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table that free() no longer deletes: a result."""
+        self.held = [x for x in self.held if x[0] is not df]
+        return df
+
+    def free(self, *tables: DataFrame) -> None:
+        """Deletes these tables, or all."""
+        gone = [x for x in self.held if not tables or any(x[0] is t for t in tables)]
+        self.held = [x for x in self.held if not any(x is y for y in gone)]
+        for _, path in gone:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def sweep(self) -> None:
+        """Asks the driver to let go of finished steps: their shuffle files go when it collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def write_table(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder that stays until that folder goes."""
+    return Scratch(df.sparkSession).table(df)
 
 
 def size_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's estimate of the size of df; where it has none, the bytes of its texts, which takes a scan."""
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return found if found < 1 << 60 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def log_parts(df: DataFrame) -> int:
-    """Binary logarithm of the number of reducers for df: one per PART_BYTES, never below the shuffle's."""
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(np.ceil(np.log2(max(shuffle, min(2 * size_bytes(df) // PART_BYTES, 1 << 17), 2))))
+    """Binary logarithm of the number of reducers for df, never below the shuffle's.
+
+    Each gets PART_BYTES[0] of the input. Past 2**14 reducers their share grows with
+    the square root of the input, to PART_BYTES[1] at most, which a worker still holds.
+    """
+    shuffle, total = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * size_bytes(df)
+    share = min(max((total * PART_BYTES[0] / (1 << 14)) ** 0.5, PART_BYTES[0]), PART_BYTES[1])
+    return int(np.ceil(np.log2(max(shuffle, total // share, 2))))
+
+
+def bitmap_parts(log_p: int) -> int:
+    """Binary logarithm of the number of reducers that make a bitmap: enough to share its hashes, and a block of bytes for each."""
+    return min(log_p, 14)
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
@@ -167,7 +222,7 @@ def row_part(ids: np.ndarray, keys: np.ndarray, log_p: int) -> np.ndarray:
 
 
 class HashSet:
-    """Collects hashes of a batch; gives each once, with a mark on those seen before in it."""
+    """Collects hashes of a batch; gives each once, with its number (up to 255)."""
 
     def __init__(self, log_p: int):
         self.log_p, self.held = log_p, []
@@ -181,39 +236,49 @@ class HashSet:
             self.held = []
             if len(h):
                 # 32 bits and the part tell hashes apart; two that are taken for one only let more through the bitmap.
-                yield route(part_of(h, self.log_p), {"h": h.astype(np.uint32), "many": (n > 1).astype(np.uint8)})
+                yield route(part_of(h, self.log_p), {"h": h.astype(np.uint32), "many": np.minimum(n, 255).astype(np.uint8)})
 
 
 HASHES = "part int, h binary, many binary"
 
 
-def bitmap(hashes: DataFrame, log_p: int, repeated: bool) -> np.ndarray:
-    """Bits of the hashes (only of those met twice or more, if repeated) as a fixed 2**BITMAP_BITS bitmap.
+def bitmap(hashes: DataFrame, log_p: int, least: int = 1, often: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the hashes met `least` times or more, as a fixed 2**BITMAP_BITS bitmap; names of those met `often`.
 
     Each reducer makes the block of its own hash range, so the driver receives
-    BITMAP_BITS bits in all, at any input size.
+    BITMAP_BITS bits in all, at any input size, and no more names than there are
+    hashes over `often`. log_p is one of bitmap_parts.
     """
-    if log_p > BITMAP_BITS - 3:
-        raise ValueError("too many parts for the bitmap")
 
     def block(table: pa.Table) -> pa.Table:
-        h = unpack(table, "h", np.uint32)
-        if repeated:
-            many = unpack(table, "many", np.uint8)
-            order = np.argsort(h, kind="stable")
-            h = h[order]
-            first = K.runs(h)
-            ends = np.append(first, len(h))[1:]
-            keep = (ends - first > 1) | (np.maximum.reduceat(many[order], first) > 0) if len(h) else first > 0
-            h = h[first][keep]
+        h, many = unpack(table, "h", np.uint32), unpack(table, "many", np.uint8)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = K.runs(h)
+        n = np.add.reduceat(many[order].astype(np.int64), first) if len(h) else first
+        h = h[first]
         bits = np.zeros(1 << (BITMAP_BITS - log_p), bool)
-        bits[(h & np.uint32(len(bits) - 1)).astype(np.int64)] = True
-        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        bits[(h[n >= least] & np.uint32(len(bits) - 1)).astype(np.int64)] = True
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "often": pa.array([h[n >= often].tobytes()], pa.binary())})
 
-    out = np.zeros((1 << log_p, 1 << (BITMAP_BITS - log_p - 3)), np.uint8)
-    for row in hashes.groupBy("part").applyInArrow(lean_group(block), "part int, bits binary").collect():
+    out, names = np.zeros((1 << log_p, 1 << (BITMAP_BITS - log_p - 3)), np.uint8), [np.empty(0, np.uint64)]
+    for row in hashes.groupBy("part").applyInArrow(lean_group(block), "part int, bits binary, often binary").collect():
         out[row.part] = np.frombuffer(row.bits, np.uint8)
-    return out.reshape(-1)
+        names.append(np.frombuffer(row.often, np.uint32).astype(np.uint64) | np.uint64(row.part << 32))
+    return out.reshape(-1), np.sort(np.concatenate(names))
+
+
+def short_name(h: np.ndarray, log_p: int) -> np.ndarray:
+    """What bitmap() calls a hash."""
+    h = spread_out(h)
+    return (part_of(h, log_p).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+
+
+def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Marks the values that the sorted array has."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def in_bitmap(bits: np.ndarray, h: np.ndarray, log_p: int) -> np.ndarray:
@@ -233,13 +298,16 @@ def id_hashes(ids: DataFrame, log_p: int) -> DataFrame:
     return ids.mapInArrow(lean(pack), HASHES)
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b); a component is named by its least node.
 
     Alternating large-star and small-star rounds: every round is two group-by
-    minima, the edge table stays linear, and nothing is collected.
+    minima, the edge table stays linear, and nothing is collected but each round's
+    count and checksum of the edges.
     """
-    edges = write_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    edges = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = sign(edges)
     for _ in range(most):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -247,11 +315,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(least, "a")
         small = star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(star.select("a", F.col("m").alias("b"))).distinct()
-        after = write_table(small)
-        same = after.join(edges, ["a", "b"], "left_anti").isEmpty() and edges.join(after, ["a", "b"], "left_anti").isEmpty()
-        edges = after
-        if same:
+        after = scratch.table(small)
+        scratch.free(edges)
+        edges, now = after, sign(after)
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("components did not converge")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -2,134 +2,166 @@
 
 Every run of ``window`` words holds one canonical anchor: the winnowed (least
 hashed) run of ``anchor`` words in it, which any equal run holds at the same
-place. Anchors that occur once can't seed a match; the others are the seeds.
-Around each seed the windows that it is canonical for are the possible
-extensions, to the left and to the right. Windows are joined by content, and all
-but the earliest occurrence are repeats. Chained repeats make the maximal
-repeated passages, which are cut.
-
-Joining windows instead of pairs of documents keeps the work linear in the text
-when thousands of documents share a passage: equality is transitive, so an
-occurrence needs no more than the earliest one.
+place. Anchors that occur once can't seed a match; documents meet at the others,
+each with the words around its occurrence (its stretch). There matches are extended
+word by word, to the left and to the right. An occurrence that nothing agrees with
+any more drops out; where left and right extension together reach ``window``
+words, all but the earliest occurrence are repeats. Repeats that touch or overlap
+in a document make its maximal repeated passages, which are cut.
+
+Matches are extended by classes of occurrences that agree so far instead of by
+pairs: equality is transitive, so thousands of copies cost their length. Words are
+compared as codes that stand for their very bytes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabstat.llm import anchors as A
 from tabstat.llm import kernel as K
 from tabstat.llm import spread as S
+from tabstat.llm.anchors import string_array
 
 WINDOW = 20
 ANCHOR = 8
-
-_ENTRY = "part int, kind binary, h1 binary, h2 binary, id binary, text_key binary, pos binary"
-_FLAG = "part int, id binary, text_key binary, pos binary"
-
-
-def _canonical(words: K.Words, h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all whole windows, the place of each one's canonical anchor, and all anchor hashes."""
-    starts = np.flatnonzero(words.room() >= window)
-    grams = K.window_hashes(h, anchor)
-    if not len(starts):
-        return starts, starts, grams
-    place = np.uint64(0xFFFFFFFF)
-    keys = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
-    least = K.sliding(keys, window - anchor + 1, np.minimum)
-    return starts, (least[starts] & place).astype(np.int64), grams
-
-
-def seeds(rows: DataFrame, log_p: int, window: int, anchor: int, inside: np.ndarray) -> np.ndarray:
-    """Bitmap of the anchors that occur more than once in the corpus."""
-
-    def scan(batches):
-        for batch in batches:
-            found = S.HashSet(log_p)
-            for _, _, data, offsets in K.text_slices(batch.column(1)):
-                words = K.Words(data, offsets, inside)
-                _, place, grams = _canonical(words, words.hashes(), window, anchor)
-                found.add(grams[np.unique(place)])
-            yield from found.flush()
-
-    return S.bitmap(rows.select("id", "text").mapInArrow(S.lean(scan), S.HASHES), log_p, repeated=True)
-
-
-def _first(h1, h2, doc, pos) -> tuple[np.ndarray, np.ndarray]:
-    """Marks the rows that are their window's earliest occurrence, and the first row of each window."""
-    order = np.lexsort((pos, doc, h2, h1))
-    a, b, d, p = h1[order], h2[order], doc[order], pos[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(order) else np.empty(0, bool)
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    earliest = np.empty(len(order), bool)
-    earliest[order] = (d == d[lead]) & (p == p[lead])
-    leads = np.zeros(len(order), bool)
-    leads[order[new]] = True
-    return earliest, leads
-
-
-def repeats(rows: DataFrame, log_p: int, window: int, anchor: int, inside: np.ndarray) -> DataFrame:
-    """Starts of the windows that begin earlier too, packed by document part."""
-    spark = rows.sparkSession
-    bits = spark.sparkContext.broadcast(seeds(rows, log_p, window, anchor, inside))
-
-    def extend(batches):
-        for batch in batches:
-            ids, held = S.ids_of(batch), []
-            for low, high, data, offsets in K.text_slices(batch.column(1)):
-                words = K.Words(data, offsets, inside)
-                h = words.hashes()
-                starts, place, grams = _canonical(words, h, window, anchor)
-                starts = starts[S.in_bitmap(bits.value, grams[place], log_p)]
-                if len(starts):
-                    row = words.text_of_word()[starts]
-                    first, second = K.window_hashes(h, window)[starts], K.window_hashes(words.hashes(1), window, 1)[starts]
-                    held.append((first, second, ids[low:high][row], S.text_keys(data, offsets)[row], (starts - words.first[row]).astype(np.int32)))
-            if held:
-                h1, h2, doc, key, pos = map(np.concatenate, zip(*held, strict=True))
-                # What has an earlier occurrence in this batch is settled here; only one occurrence of a window travels.
-                earliest, leads = _first(h1, h2, doc, pos)
-                send = leads | ~earliest
-                kind = (~earliest)[send].astype(np.uint8)
-                h1, h2, doc, key, pos = (x[send] for x in (h1, h2, doc, key, pos))
-                yield S.route(np.where(kind > 0, S.row_part(doc, key, log_p), S.part_of(h1, log_p)), {"kind": kind, "h1": np.where(kind > 0, np.uint64(0), h1), "h2": np.where(kind > 0, np.uint64(0), h2), "id": doc, "text_key": key, "pos": pos})
+#: Text that a task gathers before it sends it on, in bytes.
+FLUSH_BYTES = 8 << 20
+
+
+def word_codes(words: K.Words) -> np.ndarray:
+    """A number for each word, the same for equal words only: hashes propose, bytes decide."""
+    h = words.hashes()
+    _, first, code = np.unique(h, return_index=True, return_inverse=True)
+    size = words.end - words.start
+    lead = first[code]
+    odd = size != size[lead]
+    alike = np.flatnonzero(~odd & (lead != np.arange(len(h))))
+    if len(alike):
+        differs = K.gather(words.data, words.start[alike], size[alike]) != K.gather(words.data, words.start[lead[alike]], size[alike])
+        odd[alike[np.add.reduceat(differs, np.cumsum(size[alike]) - size[alike]) > 0]] = True
+    names: dict[bytes, int] = {}
+    for i in np.flatnonzero(odd).tolist():
+        code[i] = len(first) + names.setdefault(words.data[words.start[i] : words.end[i]].tobytes(), len(names))
+    return code
+
+
+def refine(group: np.ndarray, code: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Groups of items that agree in group and code; -1 for items alone (without copies), and where either is -1."""
+    out = np.full(len(group), -1, np.int64)
+    at = np.flatnonzero((group >= 0) & (code >= 0))
+    if len(at):
+        _, own = np.unique(group[at] * (int(code.max()) + 1) + code[at], return_inverse=True)
+        out[at] = np.where(np.bincount(own, copies[at])[own] > 1, own, -1)
+    return out
+
+
+def extend(code: np.ndarray, first: np.ndarray, off: np.ndarray, n: np.ndarray, alike: np.ndarray, doc: np.ndarray, pos: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """(occurrence, window in it) of all windows that start earlier too.
+
+    Stretch i has the codes from first[i] on, n[i] windows, and its anchor off[i]
+    words from its start. Occurrence j of stretch alike[j] is at place pos[j] of
+    document doc[j].
+    """
+    size, copies = n + window - 1, np.bincount(alike, minlength=len(n))
+
+    def word(at):
+        inside = (at >= 0) & (at < size)
+        return np.where(inside, code[np.minimum(first + np.where(inside, at, 0), len(code) - 1)], -1) if len(code) else at
+
+    seed = np.zeros(len(first), np.int64)
+    for k in range(anchor):
+        seed = refine(seed, word(off + k), copies)
+    right = [seed]
+    for k in range(window - anchor):
+        right.append(refine(right[-1], word(off + anchor + k), copies))
+    # Windows at one distance from their anchors have the order of the anchors.
+    by_place = np.lexsort((pos + off[alike], doc))
+    items, insides, left = [np.empty(0, np.int64)], [np.empty(0, np.int64)], seed
+    for k in range(window - anchor + 1):
+        if k:
+            left = refine(left, word(off - k), copies)
+        inside = off - k
+        whole = refine(np.where((inside >= 0) & (inside < n), left, -1), right[window - anchor - k], copies)
+        at = by_place[whole[alike[by_place]] >= 0]
+        at = at[np.argsort(whole[alike[at]], kind="stable")]
+        g, d, p = whole[alike[at]], doc[at], pos[at] + inside[alike[at]]
+        lead = K.runs(g)
+        lead = np.repeat(lead, np.diff(np.append(lead, len(g))))
+        late = at[(d != d[lead]) | (p != p[lead])]
+        items.append(late)
+        insides.append(inside[alike[late]])
+    item, inside = np.concatenate(items), np.concatenate(insides)
+    order = np.lexsort((inside, item))
+    return item[order], inside[order]
+
+
+def repeats(rows: DataFrame, log_p: int, window: int, anchor: int, **how) -> DataFrame:
+    """SPANS, in words, of the windows that start earlier too."""
+
+    def canonical(data, offsets):
+        words = K.Words(data, offsets, K.BLANK_WORDS)
+        h = words.hashes()
+        grams = K.window_hashes(h, anchor)
+        return words, h, grams, *A.canonical(words.room(), grams, window, anchor)
+
+    def anchors_of(data, offsets):
+        words, _, grams, _, place = canonical(data, offsets)
+        place = np.unique(place)
+        return grams[place], words.text_of_word()[place]
+
+    def collect(ids, data, offsets, known):
+        words, h, grams, starts, place = canonical(data, offsets)
+        mine = known.repeated(grams[place])
+        starts, place = starts[mine], place[mine]
+        if not len(starts):
+            return None
+        often = known.often(grams[place])
+        a, n, place = A.stretches(starts, place, often)
+        often = known.often(grams[place])
+        b = a + n + window - 1
+        row = words.text_of_word()[a]
+        # Words joined by one space, and a line feed after each stretch.
+        ends = np.cumsum(words.end - words.start + 1)
+        begins = ends - (words.end - words.start + 1)
+        plain = np.full(ends[-1], 0x20, np.uint8)
+        letter = np.ones(len(plain), bool)
+        letter[ends - 1] = False
+        plain[letter] = data[K.BLANK_WORDS[data]]
+        width = ends[b - 1] - begins[a]
+        text = K.gather(plain, begins[a], width)
+        text[np.cumsum(width) - 1] = 0x0A
+        sums = [K.prefix_sums(words.hashes(w) if w else h, w) for w in (0, 1)]
+        same = [K.span_hashes(c, a, b, w) for w, c in enumerate(sums)]
+        home = np.where(often, K.span_hashes(sums[0], a, np.minimum(a + window, b)), grams[place])
+        return (home, place - a, n, ids[row], S.text_keys(data, offsets)[row], (a - words.first[row]).astype(np.int32), *same), text, width
+
+    def close(held):
+        return A.pack([np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), log_p, True)
+
+    def visit(batches, known):
+        return A.gathered(batches, lambda *slice_: collect(*slice_, known), FLUSH_BYTES, close)
 
     def settle(table: pa.Table) -> pa.Table:
-        kind, h1, h2 = S.unpack(table, "kind", np.uint8) > 0, S.unpack(table, "h1", np.uint64), S.unpack(table, "h2", np.uint64)
-        doc, key, pos = S.unpack(table, "id", np.int64), S.unpack(table, "text_key", np.uint64), S.unpack(table, "pos", np.int32)
-        flagged = kind.copy()
-        flagged[~kind] = ~_first(h1[~kind], h2[~kind], doc[~kind], pos[~kind])[0]
-        at = np.flatnonzero(flagged)
-        at = at[np.lexsort((pos[at], key[at]))]
-        return pa.Table.from_batches([S.route(S.row_part(doc[at], key[at], log_p), {"id": doc[at], "text_key": key[at], "pos": pos[at]})])
-
-    return rows.select("id", "text").mapInArrow(S.lean(extend), _ENTRY).groupBy("part").applyInArrow(S.lean_group(settle), _FLAG)
-
-
-def with_part(rows: DataFrame, log_p: int) -> DataFrame:
-    """rows with their part, where their flags are."""
-
-    def add(batches):
-        for batch in batches:
-            ids, part = S.ids_of(batch), [np.empty(0, np.int32)]
-            for low, high, data, offsets in K.text_slices(batch.column(1)):
-                part.append(S.row_part(ids[low:high], S.text_keys(data, offsets), log_p))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), *batch.columns], ["part", *batch.schema.names])
-
-    return rows.mapInArrow(S.lean(add), "part int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
-
-
-def flag_index(flags: pa.Table) -> dict[tuple[int, int], np.ndarray]:
-    """Flagged starts by (id, text key)."""
-    doc, key, pos = S.unpack(flags, "id", np.int64), S.unpack(flags, "text_key", np.uint64), S.unpack(flags, "pos", np.int32)
-    order = np.lexsort((pos, doc, key))
-    doc, key, pos = doc[order], key[order], pos[order]
-    if not len(doc):
-        return {}
-    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
-    return dict(zip(zip(doc[first].tolist(), key[first].tolist(), strict=True), np.split(pos, first[1:]), strict=True))
+        settled, off, n = S.unpack(table, "kind", np.uint8) > 0, S.unpack(table, "off", np.uint8).astype(np.int64), S.unpack(table, "n", np.uint8).astype(np.int64)
+        doc, key, pos = S.unpack(table, "id", np.int64), S.unpack(table, "text_key", np.uint64), S.unpack(table, "pos", np.int32).astype(np.int64)
+        data = S.unpack(table, "context", np.uint8)
+        here = np.flatnonzero(~settled)
+        code = word_codes(K.Words(data, np.array([0, len(data)]), K.BLANK_WORDS))
+        size = n[here] + window - 1
+        # Stretches end with a line feed. Equal ones are extended once.
+        ends = np.flatnonzero(data == 0x0A) + 1
+        lead = A.distinct_stretches(data, np.concatenate((ends[:0], [0], ends[:-1]))[: len(ends)], np.diff(np.concatenate(([0], ends))))
+        one, alike = np.unique(lead, return_inverse=True)
+        item, inside = extend(code, (np.cumsum(size) - size)[one], off[here][one], n[here][one], alike, doc[here], pos[here], window, anchor)
+        return A.flag(here[item], inside, n, doc, key, pos, settled, window, log_p)
+
+    found = A.visit(rows, anchors_of, visit, A.STRETCHES, log_p, **how)
+    return found.groupBy("part").applyInArrow(S.lean_group(settle), A.SPANS)
 
 
 def _join_words(words: K.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,11 +191,7 @@ def _cut_words(words: K.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return words.data[stay], np.concatenate(([0], np.cumsum(stay)))[words.offsets]
 
 
-def string_array(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
-    return pa.Array.from_buffers(kind or pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, anchor: int = ANCHOR, carry: list[str] | None = None, layout: str = "words") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, anchor: int = ANCHOR, carry: list[str] | None = None, layout: str = "words", **how) -> DataFrame:
     """Cuts every word inside a ``window``-word run that also starts earlier in the corpus.
 
     Earlier means a smaller id, or the same id and an earlier start. Returns one
@@ -172,41 +200,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (layout "words") or the text without the cut words and the white space after
     them (layout "text").
 
-    Null text: no words, empty ``kept``. A null id sorts last. Rows equal in id and
-    text are one document met several times and get equal results; rows that
-    share an id but not the text are compared by start. Other columns can have
-    any name, as only the id, the text and the carried ones are read.
+    Null text: no words; ``kept`` is empty, or null in layout "text". A null id
+    sorts last. Rows equal in id and text are one document met several times and
+    get equal results; rows that share an id but not the text are compared by
+    start. Texts of any length are read whole, a slice at a time. Other columns can
+    have any name, as only the id, the text and the carried ones are read.
+    ``bitmap_input`` and ``often`` are those of anchors.visit.
     """
-    if layout not in ("words", "text") or not 0 < anchor <= window:
-        raise ValueError("layout must be words or text, and 0 < anchor <= window")
+    if layout not in ("words", "text") or not 0 < anchor <= window <= 200:
+        raise ValueError("layout must be words or text, and 0 < anchor <= window <= 200")
     spark = docs.sparkSession
     S.tune(spark)
     inside = K.BLANK_WORDS
     rows = S.texts(docs, id_col, text_col, carry)
     log_p = S.log_parts(rows)
-    flags = repeats(rows, log_p, window, anchor, inside)
+    flags = repeats(rows, log_p, window, anchor, **how)
     carried = [f for f in rows.schema if f.name not in ("id", "text")]
 
     def cut(table: pa.Table, flagged: pa.Table) -> pa.Table:
-        index, done = flag_index(flagged), []
+        spans, done = A.Spans(flagged), []
         for batch in table.to_batches():
             ids, text = S.ids_of(batch), batch.column(batch.schema.get_field_index("text"))
             for low, high, data, offsets in K.text_slices(text):
                 words = K.Words(data, offsets, inside)
-                gone = np.zeros(len(words.start), bool)
-                keys = S.text_keys(data, offsets).tolist() if index else []
-                for r, pair in enumerate(zip(ids[low:high].tolist(), keys, strict=False)):
-                    if pair in index:
-                        a, b = words.first[r], words.first[r + 1]
-                        gone[a:b] = K.cover(index[pair], window, b - a)
-                removed = np.add.reduceat(np.append(gone, False).astype(np.int64), words.first[:-1]) * (words.counts > 0) if high > low else np.empty(0, np.int64)
+                gone = spans.cover(ids[low:high], data, offsets, words.first, len(words.start))
+                removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[words.first])
                 kept = string_array(*(_join_words if layout == "words" else _cut_words)(words, ~gone))
                 part = batch.slice(low, high - low)
+                if layout == "text":
+                    kept = pc.if_else(pc.is_null(part.column(part.schema.get_field_index("text"))), pa.scalar(None, pa.string()), kept)
                 done.append(pa.Table.from_arrays([part.column(part.schema.get_field_index("id")), pa.array(words.counts), pa.array(removed), kept, *(part.column(part.schema.get_field_index(f.name)) for f in carried)], ["id", "n_words", "n_removed", "kept", *(f.name for f in carried)]))
         return pa.concat_tables(done)
 
     schema = ", ".join(["id bigint", "n_words bigint", "n_removed bigint", "kept string", *(f"{f.name} {f.dataType.simpleString()}" for f in carried)])
-    placed = with_part(rows, log_p)
+    placed = A.with_part(rows, log_p)
     empty = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def cut_or_nothing(table: pa.Table, flagged: pa.Table) -> pa.Table:

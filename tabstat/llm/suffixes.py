@@ -5,9 +5,11 @@ share their first ``length`` bytes with another matter, so each window of that
 length is first keyed by its canonical anchor (the least hashed ``ANCHOR``-byte run
 in it, which equal windows hold at the same place), and windows whose anchor is
 unique in the corpus are out. The others, with their bytes, meet at the reducer of
-their anchor. Whole equal stretches are settled by hash; the rest are sorted: a
-library sort symbol by symbol (8 bytes each) down to SHALLOW bytes, then a blind trie
-for every group that still shares its prefix.
+their anchor and are sorted, in buckets of one anchor at one place: multikey
+quicksort, symbol by symbol (8 bytes each), to SHALLOW bytes, then a blind trie for
+every group that still shares its prefix. In the sorted order, neighbours with a
+common prefix of ``length`` bytes are equal windows. Of stretches that are equal as a
+whole only one is sorted, for all.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tabstat.llm import anchors as A
 from tabstat.llm import kernel as K
 from tabstat.llm import spread as S
-from tabstat.llm.substrings import string_array, with_part
+from tabstat.llm.anchors import string_array
 
 LENGTH = 50
 ANCHOR = 16
@@ -26,9 +29,8 @@ ANCHOR = 16
 SHALLOW = 32
 #: Text that a task gathers before it sends it on, in bytes.
 FLUSH_BYTES = 8 << 20
-
-_ITEM = "part int, kind binary, n binary, id binary, text_key binary, pos binary, context binary"
-_FLAG = "part int, id binary, text_key binary, pos binary, length binary"
+#: Tails that are cut out of the text at once.
+TAILS = 1 << 16
 
 
 class BlindTrie:
@@ -44,18 +46,20 @@ class BlindTrie:
             self.root, self.size = (s, 0), 1
             return 0
         node = self.root
-        while isinstance(node, list):
+        while type(node) is list:
             node = node[1].get(s[node[0]]) or next(iter(node[1].values()))
         other, number = node
         if other == s:
             return number
-        depth = next(i for i, (a, b) in enumerate(zip(s, other, strict=True)) if a != b)
+        depth = 0
+        while s[depth] == other[depth]:
+            depth += 1
         above, node = None, self.root
-        while isinstance(node, list) and node[0] < depth:
+        while type(node) is list and node[0] < depth:
             above, node = node, node[1][s[node[0]]]
         leaf = (s, self.size)
         self.size += 1
-        if isinstance(node, list) and node[0] == depth:
+        if type(node) is list and node[0] == depth:
             node[1][s[depth]] = leaf
             return leaf[1]
         inner = [depth, {other[depth]: node, s[depth]: leaf}]
@@ -70,8 +74,9 @@ class BlindTrie:
         out, todo = [], [self.root] if self.root else []
         while todo:
             node = todo.pop()
-            if isinstance(node, list):
-                todo += [node[1][b] for b in sorted(node[1], reverse=True)]
+            if type(node) is list:
+                below = node[1]
+                todo += [below[b] for b in sorted(below, reverse=True)]
             else:
                 out.append(node[1])
         return out
@@ -85,153 +90,156 @@ def _symbols(data: np.ndarray) -> np.ndarray:
     return out[: len(data)]
 
 
-def deep_shallow(data: np.ndarray, start: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes of data at start by their first length bytes, and each one's group of equals."""
+def multikey_quicksort(symbols: np.ndarray, start: np.ndarray, depth: int, bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at start by bucket and their first depth bytes, and the first place of each one's group of equals.
+
+    Three-way partition by a pivot symbol. The groups of one round are partitioned
+    side by side: what is below the pivot and what is above it is partitioned again
+    by the same symbol, what equals it goes a symbol deeper.
+    """
+    order, group, deep = np.arange(len(start)), np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    if bucket is not None and len(start):
+        order = np.argsort(bucket, kind="stable")
+        first = K.runs(bucket[order])
+        group = np.repeat(first, np.diff(np.append(first, len(start))))
+    live = np.arange(len(start))
+    while len(live):
+        g, d = group[live], deep[live]
+        first = K.runs(g)
+        size = np.diff(np.append(first, len(live)))
+        many = np.repeat((size > 1) & (d[first] < depth), size)
+        if not many.all():
+            live, g, d = live[many], g[many], d[many]
+            first = K.runs(g)
+            size = np.diff(np.append(first, len(live)))
+            if not len(live):
+                break
+        key = symbols[start[order[live]] + d]
+        # The pivot is the median of the group's first, middle and last symbol.
+        a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        below, equal = key < pivot, key == pivot
+        lead = np.repeat(first, size)
+        count = lambda mark: np.cumsum(mark) - np.repeat(np.cumsum(mark)[first] - mark[first], size)
+        n_below, n_equal = (np.repeat(np.add.reduceat(x.astype(np.int64), first), size) for x in (below, equal))
+        up_below, up_equal = count(below), count(equal)
+        nth = np.arange(len(live)) - lead + 1
+        place = lead + np.where(below, up_below, np.where(equal, n_below + up_equal, n_below + n_equal + nth - up_below - up_equal)) - 1
+        moved = np.empty(len(live), np.int64)
+        moved[place] = order[live]
+        order[live] = moved
+        head = g + np.where(below, 0, np.where(equal, n_below, n_below + n_equal))
+        group[live[place]], deep[live[place]] = head, d + 8 * equal
+    return order, group
+
+
+def deep_shallow(data: np.ndarray, start: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW, bucket: np.ndarray | None = None) -> np.ndarray:
+    """Order of the suffixes of data at start by their first length bytes, in each bucket."""
     symbols = _symbols(data)
-    depths = [*range(0, shallow, 8)]
-    order = np.argsort(symbols[start], kind="stable")
-    group = np.cumsum(np.concatenate(([True], np.diff(symbols[start[order]]) != 0))) if len(order) else np.empty(0, np.int64)
-    for depth in depths[1:]:
-        # The pivot is the group's first suffix. A group all equal to it goes a symbol deeper as it is.
-        key = symbols[start[order] + depth]
-        first = K.runs(group)
-        lead = np.repeat(first, np.diff(np.append(first, len(group))))
-        uneven = np.logical_or.reduceat(key != key[lead], first) if len(first) else first > 0
-        mixed = np.flatnonzero(uneven[np.searchsorted(first, lead)])
-        if len(mixed):
-            sub = np.lexsort((key[mixed], group[mixed]))
-            order[mixed], key[mixed] = order[mixed[sub]], key[mixed[sub]]
-        group = np.cumsum(np.concatenate(([True], (np.diff(group) != 0) | (key[1:] != key[:-1])))) if len(order) else group
+    order, group = multikey_quicksort(symbols, start, shallow, bucket)
     # Deep: groups share `shallow` bytes. One that is all equal is a trie of one leaf.
-    rest = [symbols[start[order] + d] for d in (*range(shallow, length - 8, 8), length - 8)]
     first = K.runs(group)
     edge = np.append(first, len(group))
     lead = np.repeat(first, np.diff(edge))
     differs = np.zeros(len(order), bool)
-    for key in rest:
+    for d in (*range(shallow, length - 8, 8), length - 8):
+        key = symbols[start[order] + d]
         differs |= key != key[lead]
-    leaf = np.zeros(len(order), np.int64)
-    for g in np.flatnonzero(np.logical_or.reduceat(differs, first)).tolist() if len(first) else ():
-        a, b = int(edge[g]), int(edge[g + 1])
-        tails = data[(start[order[a:b]] + shallow)[:, None] + np.arange(length - shallow)].tobytes()
-        width, trie = length - shallow, BlindTrie()
-        numbers = [trie.add(tails[i : i + width]) for i in range(0, len(tails), width)]
-        rank = np.empty(trie.size, np.int64)
-        rank[trie.order()] = np.arange(trie.size)
-        own = rank[numbers]
-        sub = np.argsort(own, kind="stable")
-        order[a:b], leaf[a:b] = order[a:b][sub], own[sub]
-    new = np.concatenate(([True], (np.diff(group) != 0) | (np.diff(leaf) != 0))) if len(order) else np.empty(0, bool)
-    equal = np.empty(len(order), np.int64)
-    equal[order] = np.cumsum(new)
-    return order, equal
-
-
-def _canonical(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all whole windows, the place of each one's canonical anchor, and all anchor hashes."""
-    room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    starts = np.flatnonzero(room >= length)
-    grams = K.window_hashes(data.astype(np.uint64) + np.uint64(1), anchor)
-    if not len(starts):
-        return starts, starts, grams
-    place = np.uint64(0xFFFFFFFF)
-    least = K.sliding((grams & ~place) | np.arange(len(grams), dtype=np.uint64), length - anchor + 1, np.minimum)
-    return starts, (least[starts] & place).astype(np.int64), grams
-
-
-def seeds(rows: DataFrame, log_p: int, length: int, anchor: int) -> np.ndarray:
-    """Bitmap of the anchors that occur more than once in the corpus."""
-
-    def scan(batches):
-        for batch in batches:
-            found = S.HashSet(log_p)
-            for _, _, data, offsets in K.text_slices(batch.column(1)):
-                _, place, grams = _canonical(data, offsets, length, anchor)
-                found.add(grams[place[K.runs(place)]])
-            yield from found.flush()
-
-    return S.bitmap(rows.select("id", "text").mapInArrow(S.lean(scan), S.HASHES), log_p, repeated=True)
-
-
-def repeats(rows: DataFrame, log_p: int, length: int, anchor: int) -> DataFrame:
-    """Byte spans made of windows that a smaller id has too, packed by document part."""
-    bits = rows.sparkSession.sparkContext.broadcast(seeds(rows, log_p, length, anchor))
-
-    def pack(held):
-        h, off, n, doc, key, pos, s0, s1, text = map(np.concatenate, zip(*held, strict=True))
-        at = np.cumsum(n.astype(np.int64) + length - 1) - (n.astype(np.int64) + length - 1)
-        # Stretches around one anchor are alike: side by side, they compress to little.
-        alike = np.lexsort((s0, h))
-        h, off, n, doc, key, pos, s0, s1, at = (x[alike] for x in (h, off, n, doc, key, pos, s0, s1, at))
-        # A stretch that a smaller id has whole among those held is settled here and needn't travel with its text.
-        order = np.lexsort((doc, off, s1, s0))
-        new = np.concatenate(([True], (np.diff(s0[order]) != 0) | (np.diff(s1[order]) != 0) | (off[order][1:] != off[order][:-1])))
-        least = np.empty(len(order), np.int64)
-        least[order] = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
-        settled = doc > least
-        size = n.astype(np.int64) + length - 1
-        part = np.where(settled, S.row_part(doc, key, log_p), S.part_of(S.spread_out(h), log_p))
-        out = S.route(part, {"kind": settled.astype(np.uint8), "n": n, "id": doc, "text_key": key, "pos": pos})
-        by_part = np.argsort(part, kind="stable")
-        size, at = np.where(settled, 0, size)[by_part], at[by_part]
-        moved = K.gather(text, at, size)
-        ends = np.cumsum(size)
-        first = K.runs(part[by_part])
-        context = string_array(moved, np.append(np.concatenate(([0], ends))[first], ends[-1]), pa.binary())
-        return pa.RecordBatch.from_arrays([*out.columns, context], [*out.schema.names, "context"])
-
-    def collect(batches):
-        for batch in batches:
-            ids, held, waiting = S.ids_of(batch), [], 0
-            for low, high, data, offsets in K.text_slices(batch.column(1)):
-                starts, place, grams = _canonical(data, offsets, length, anchor)
-                mine = S.in_bitmap(bits.value, grams[place], log_p)
-                starts, place = starts[mine], place[mine]
-                if not len(starts):
-                    continue
-                # Neighbouring windows with one canonical anchor travel as one stretch of text.
-                first = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 0) | (np.diff(starts) != 1))))
-                n = np.diff(np.append(first, len(starts)))
-                a, place = starts[first], place[first]
-                b = a + n + length - 1
-                row = np.searchsorted(offsets, a, "right") - 1
-                values = data.astype(np.uint64) + np.uint64(1)
-                same = [K.span_hashes(K.prefix_sums(values, w), a, b, w) for w in (0, 1)]
-                text = K.gather(data, a, b - a)
-                held.append((grams[place], (place - a).astype(np.uint8), n.astype(np.uint8), ids[low:high][row], S.text_keys(data, offsets)[row], (a - offsets[row]).astype(np.int32), *same, text))
-                waiting += len(text)
-                if waiting > FLUSH_BYTES:
-                    yield pack(held)
-                    held, waiting = [], 0
-            if held:
-                yield pack(held)
+    uneven = np.logical_or.reduceat(differs, first) if len(first) else differs
+    at = np.flatnonzero(np.repeat(uneven, np.diff(edge)))
+    width = length - shallow
+    rank: list[int] = []
+    for low in range(0, len(at), TAILS):
+        tails = data[(start[order[at[low : low + TAILS]]] + shallow)[:, None] + np.arange(width)].tobytes()
+        rank += [tails[i : i + width] for i in range(0, len(tails), width)]
+    done = 0
+    for n in np.diff(edge)[uneven].tolist():
+        trie = BlindTrie()
+        numbers = [trie.add(s) for s in rank[done : done + n]]
+        place = [0] * trie.size
+        for i, k in enumerate(trie.order()):
+            place[k] = i
+        rank[done : done + n] = [place[k] for k in numbers]
+        done += n
+    order[at] = order[at][np.lexsort((rank, group[at]))] if len(at) else order[at]
+    return order
+
+
+def shares(data: np.ndarray, start: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Whether each suffix in order has a common prefix of length bytes or more with the one before it."""
+    symbols, out = _symbols(data), np.zeros(len(order), bool)
+    out[1:] = True
+    for d in (*range(0, length - 8, 8), length - 8):
+        key = symbols[start[order] + d]
+        out[1:] &= key[1:] == key[:-1]
+    return out
+
+
+def repeats(rows: DataFrame, log_p: int, length: int, anchor: int, **how) -> DataFrame:
+    """SPANS, in bytes, of the windows that a smaller id has too."""
+
+    def canonical(data, offsets):
+        room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
+        grams = K.window_hashes(data.astype(np.uint64) + np.uint64(1), anchor)
+        return grams, *A.canonical(room, grams, length, anchor)
+
+    def anchors_of(data, offsets):
+        grams, _, place = canonical(data, offsets)
+        place = place[K.runs(place)]
+        return grams[place], np.searchsorted(offsets, place, "right") - 1
+
+    def collect(ids, data, offsets, known):
+        grams, starts, place = canonical(data, offsets)
+        mine = known.repeated(grams[place])
+        starts, place = starts[mine], place[mine]
+        if not len(starts):
+            return None
+        a, n, place = A.stretches(starts, place, known.often(grams[place]))
+        often = known.often(grams[place])
+        b = a + n + length - 1
+        row = np.searchsorted(offsets, a, "right") - 1
+        values = data.astype(np.uint64) + np.uint64(1)
+        sums = [K.prefix_sums(values, w) for w in (0, 1)]
+        same = [K.span_hashes(c, a, b, w) for w, c in enumerate(sums)]
+        home = np.where(often, K.span_hashes(sums[0], a, a + length), grams[place])
+        return (home, place - a, n, ids[row], S.text_keys(data, offsets)[row], (a - offsets[row]).astype(np.int32), *same), K.gather(data, a, b - a), b - a
+
+    def close(held):
+        return A.pack([np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), log_p, False)
+
+    def visit(batches, known):
+        return A.gathered(batches, lambda *slice_: collect(*slice_, known), FLUSH_BYTES, close)
 
     def settle(table: pa.Table) -> pa.Table:
-        kind, n = S.unpack(table, "kind", np.uint8) > 0, S.unpack(table, "n", np.uint8).astype(np.int64)
-        doc, key, pos = S.unpack(table, "id", np.int64), S.unpack(table, "text_key", np.uint64), S.unpack(table, "pos", np.int32)
+        settled, off, n = S.unpack(table, "kind", np.uint8) > 0, S.unpack(table, "off", np.uint8).astype(np.int64), S.unpack(table, "n", np.uint8).astype(np.int64)
+        doc, key, pos = S.unpack(table, "id", np.int64), S.unpack(table, "text_key", np.uint64), S.unpack(table, "pos", np.int32).astype(np.int64)
         data = S.unpack(table, "context", np.uint8)
-        open_ = np.flatnonzero(~kind)
-        size = n[open_] + length - 1
-        item = np.repeat(open_, n[open_])
-        inside = np.arange(len(item)) - np.repeat(np.cumsum(n[open_]) - n[open_], n[open_])
-        start = np.repeat(np.cumsum(size) - size, n[open_]) + inside
-        _, equal = deep_shallow(data, start, length)
+        here = np.flatnonzero(~settled)
+        size = n[here] + length - 1
+        at = np.cumsum(size) - size
+        lead = A.distinct_stretches(data, at, size)
+        # Every stretch has its windows; those of the first of equal stretches are sorted.
+        item = np.repeat(np.arange(len(here)), n[here])
+        inside = np.arange(len(item)) - np.repeat(np.cumsum(n[here]) - n[here], n[here])
+        base = np.cumsum(n[here]) - n[here]
+        sorted_ = np.flatnonzero((lead == np.arange(len(here)))[item])
+        start = (at[item] + inside)[sorted_]
+        seed = np.repeat(at + off[here], n[here])[sorted_]
+        grams = K.window_hashes(data.astype(np.uint64) + np.uint64(1), anchor)
+        order = deep_shallow(data, start, length, bucket=grams[seed] + (seed - start).astype(np.uint64))
+        equal = np.empty(len(item), np.int64)
+        equal[sorted_[order]] = np.cumsum(~shares(data, start, order, length))
+        equal = equal[base[lead[item]] + inside]
         least = np.full(int(equal.max()) + 1 if len(equal) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, equal, doc[item])
-        late = np.flatnonzero(doc[item] > least[equal])
-        first = np.flatnonzero(np.concatenate(([True], (np.diff(item[late]) != 0) | (np.diff(inside[late]) != 1)))) if len(late) else late
-        run = np.diff(np.append(first, len(late)))
-        owner = np.concatenate((item[late[first]], np.flatnonzero(kind)))
-        at = np.concatenate((pos[item[late[first]]] + inside[late[first]], pos[kind])).astype(np.int32)
-        span = np.concatenate((run, n[kind])).astype(np.int32) + length - 1
-        order = np.lexsort((at, key[owner]))
-        owner, at, span = owner[order], at[order], span[order].astype(np.int32)
-        return pa.Table.from_batches([S.route(S.row_part(doc[owner], key[owner], log_p), {"id": doc[owner], "text_key": key[owner], "pos": at, "length": span})])
+        np.minimum.at(least, equal, doc[here[item]])
+        late = np.flatnonzero(doc[here[item]] > least[equal])
+        return A.flag(here[item[late]], inside[late], n, doc, key, pos, settled, length, log_p)
 
-    return rows.select("id", "text").mapInArrow(S.lean(collect), _ITEM).groupBy("part").applyInArrow(S.lean_group(settle), _FLAG)
+    found = A.visit(rows, anchors_of, visit, A.STRETCHES, log_p, **how)
+    return found.groupBy("part").applyInArrow(S.lean_group(settle), A.SPANS)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, anchor: int = ANCHOR, **how) -> DataFrame:
     """Cuts every byte inside a ``length``-byte string that also starts in a document with a smaller id.
 
     Texts are UTF-8 bytes and matches stay inside one document. Returns one row
@@ -240,7 +248,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     character).
 
     Null text is empty. A null id sorts last. Rows that share an id are one
-    document: neither loses bytes to the other. Other columns are not read.
+    document: neither loses bytes to the other. Texts of any length are read whole,
+    a slice at a time. Other columns are not read. ``bitmap_input`` and ``often`` are
+    those of anchors.visit.
     """
     if not SHALLOW + 8 <= length <= 255 or not 8 <= anchor <= length:
         raise ValueError("length must be 40 to 255 bytes, and anchor 8 to length")
@@ -248,27 +258,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = S.texts(docs, id_col, text_col)
     # Sorting takes some 300 bytes for each byte of repeated text, so reducers get half of the usual share.
     log_p = S.log_parts(rows) + 1
-    flags = repeats(rows, log_p, length, anchor)
+    flags = repeats(rows, log_p, length, anchor, **how)
 
     def cut(table: pa.Table, flagged: pa.Table) -> pa.Table:
-        columns = [[np.empty(0, np.int64)] for _ in range(3)]
+        spans, columns = A.Spans(flagged), [[np.empty(0, np.int64)] for _ in range(3)]
         names, kept, ids_out = ["n_bytes", "n_removed", "n_spans"], [], []
-        doc, key = S.unpack(flagged, "id", np.int64), S.unpack(flagged, "text_key", np.uint64)
-        pos, span = S.unpack(flagged, "pos", np.int32).astype(np.int64), S.unpack(flagged, "length", np.int32)
-        order = np.lexsort((doc, key))
-        doc, key, pos, span = doc[order], key[order], pos[order], span[order]
-        first = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (key[1:] != key[:-1])))) if len(doc) else np.empty(0, np.int64)
-        index = dict(zip(zip(doc[first].tolist(), key[first].tolist(), strict=True), zip(first.tolist(), np.append(first, len(doc))[1:].tolist(), strict=True), strict=True))
         for batch in table.to_batches():
             ids = S.ids_of(batch)
             for low, high, data, offsets in K.text_slices(batch.column(batch.schema.get_field_index("text"))):
-                edge = np.zeros(len(data) + 1, np.int32)
-                for r, pair in enumerate(zip(ids[low:high].tolist(), S.text_keys(data, offsets).tolist(), strict=True)) if index else ():
-                    if pair in index:
-                        a, b = index[pair]
-                        np.add.at(edge, offsets[r] + pos[a:b], 1)
-                        np.add.at(edge, offsets[r] + pos[a:b] + span[a:b], -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                gone = spans.cover(ids[low:high], data, offsets, offsets, len(data))
                 opens = gone.copy()
                 opens[1:] &= ~gone[:-1]
                 edges = offsets[:-1][np.diff(offsets) > 0]
@@ -282,4 +280,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = {"id": pa.chunked_array(ids_out, pa.int64()), **{c: pa.array(np.concatenate(v).astype(np.int64)) for c, v in zip(names, columns, strict=True)}, "kept": pa.chunked_array(kept, pa.binary())}
         return pa.table(out)
 
-    return with_part(rows, log_p).groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(S.lean_cogroup(cut), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return A.with_part(rows, log_p).groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(S.lean_cogroup(cut), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabstat.llm import decontaminate, html, jaccard, kernel, licenses, packing, quality, spread, substrings, suffixes, urls, warc
+from tabstat.llm import anchors, decontaminate, html, jaccard, kernel, licenses, packing, quality, spread, substrings, suffixes, urls, warc
 
 SCHEMA = "doc_id bigint, text string, part string, id string, c0 int"
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,16 +74,18 @@ def test_bitmap_finds_repeats(spark):
     rng = np.random.default_rng(2)
     values = rng.integers(0, 2**62, 500)
     ids = spark.createDataFrame([(int(v),) for v in [*values, *values[:50]]], "v bigint").repartition(4)
-    bits = spread.bitmap(spread.id_hashes(ids, 3), 3, repeated=True)
-    hit = spread.in_bitmap(bits, kernel.mix(values.view(np.uint64)), 3)
+    bits, often = spread.bitmap(spread.id_hashes(ids.union(ids.where(f"v = {values[7]}")), 3), 3, 2, 3)
+    hashes = kernel.mix(values.view(np.uint64))
+    hit = spread.in_bitmap(bits, hashes, 3)
     assert hit[:50].all() and hit[50:].sum() < 5
+    assert np.flatnonzero(spread.is_in(spread.short_name(hashes, 3), often)).tolist() == [7]
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
-    got = {r.node: r.component for r in spread.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r.node: r.component for r in spread.components(spark.createDataFrame(edges, "a bigint, b bigint"), spread.Scratch(spark)).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 102)}}
-    assert spread.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert spread.components(spark.createDataFrame([], "a bigint, b bigint"), spread.Scratch(spark)).count() == 0
 
 
 # 7 and 8: repeated passages
@@ -105,13 +107,17 @@ def brute_words(rows, window=20):
     return out
 
 
+WAYS = ({}, {"often": 3}, {"bitmap_input": 0}, {"bitmap_input": 0, "often": 3})
+
+
 def test_substrings(spark, docs, rows):
-    got = substrings.remove_repeats(docs).collect()
     want = brute_words([(r[0], r[1]) for r in rows])
-    assert len(got) == len(rows) + 2
-    for r in got:
-        if r.id is not None:
-            assert (r.n_words, r.n_removed, r.kept) == want[r.id]
+    for way in WAYS:
+        got = substrings.remove_repeats(docs, **way).collect()
+        assert len(got) == len(rows) + 2
+        for r in got:
+            if r.id is not None:
+                assert (r.n_words, r.n_removed, r.kept) == want[r.id], way
     assert substrings.remove_repeats(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         substrings.remove_repeats(docs, layout="odd")
@@ -125,7 +131,7 @@ def test_cut_repeats_keeps_columns_and_clean_texts(spark, docs, rows):
     for r in rows:
         n, removed, kept = want[r[0]]
         if removed == 0:
-            assert by_id[r[0]] == (r[1] or "")
+            assert by_id[r[0]] == r[1]
         elif removed == n:
             assert r[0] not in by_id
         else:
@@ -133,7 +139,8 @@ def test_cut_repeats_keeps_columns_and_clean_texts(spark, docs, rows):
 
 
 def test_suffixes(spark, docs, rows):
-    got = suffixes.remove_repeats(docs).collect()
+    got = [r for way in WAYS for r in suffixes.remove_repeats(docs, **way).collect()]
+    assert len(got) == len(WAYS) * (len(rows) + 2)
     first, raw = {}, {r[0]: (r[1] or "").encode() for r in rows}
     for d, b in raw.items():
         for p in range(len(b) - 49):
@@ -157,11 +164,24 @@ def test_deep_shallow_orders_suffixes():
     data = rng.integers(97, 99, 1500).astype(np.uint8)
     data = np.concatenate([data, data[:400], data[100:300]])
     start = rng.permutation(len(data) - 50)
-    order, equal = suffixes.deep_shallow(data, start)
+    order = suffixes.deep_shallow(data, start)
     own = [data[i : i + 50].tobytes() for i in start]
     assert [own[i] for i in order] == sorted(own)
-    names = {}
-    assert all(names.setdefault(s, g) == g for s, g in zip(own, equal.tolist(), strict=True)) and len(set(names.values())) == len(names)
+    same = suffixes.shares(data, start, order, 50)
+    assert same.tolist() == [False] + [own[a] == own[b] for a, b in zip(order[1:], order[:-1], strict=True)] and same.any()
+    order, group = suffixes.multikey_quicksort(suffixes._symbols(data), start, 16)
+    heads = [own[i][:16] for i in order]
+    assert heads == sorted(heads) and [heads[g] for g in group] == heads and all(g == 0 or heads[g - 1] != heads[g] for g in group)
+
+
+def test_equal_hashes_are_told_apart_by_their_bytes(monkeypatch):
+    data = np.frombuffer(b"aa bb aa cc bb\naa bb", np.uint8)
+    words = kernel.Words(data, np.array([0, len(data)]), kernel.BLANK_WORDS)
+    monkeypatch.setattr(kernel.Words, "hashes", lambda self, which=0: np.zeros(len(self.start), np.uint64))
+    code = substrings.word_codes(words)
+    assert [code[0] == c for c in code] == [True, False, True, False, False, True, False] and code[1] == code[4] == code[6] != code[3]
+    monkeypatch.setattr(kernel, "span_hashes", lambda c, a, b, which=0: np.zeros(len(a), np.uint64))
+    assert anchors.distinct_stretches(data, words.start, words.end - words.start).tolist() == [0, 1, 0, 3, 4, 0, 6]
 
 
 def test_blind_trie():
@@ -240,6 +260,21 @@ def test_jaccard_links_inside_a_group_without_its_head(spark):
     assert sum(d != c for d, (_, c) in want.items()) == 12
 
 
+def test_jaccard_repeated_and_null_ids(spark):
+    """Rows of one id are one node; rows without an id are a node each; one row of each linked group stays."""
+    t = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefg"]
+    rows = [(3, t[0]), (5, t[0]), (5, t[1]), (9, t[1]), (None, t[2]), (11, t[2]), (None, t[3]), (12, t[4]), (None, t[5]), (None, t[5] + " end"), (7, ""), (7, t[6]), (8, None), (12, t[4])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {}
+    for r in jaccard.link_components(df).collect():
+        got.setdefault(r.id, set()).add((r.n_shingles, r.component))
+    assert got == {3: {(26, 3)}, 5: {(26, 3)}, 9: {(26, 3)}, None: {(26, 11), (26, None), (27, None)}, 11: {(26, 11)}, 12: {(26, 12)}, 7: {(0, 7), (26, 7)}, 8: {(0, 8)}}
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(df).collect()), key=str)
+    linked = [x for x in kept if x[0] is None and x[1].startswith("f")]
+    assert len(linked) == 1
+    assert sorted((x for x in kept if x not in linked), key=str) == sorted([(3, t[0]), (5, t[1]), (11, t[2]), (None, t[3]), (12, t[4]), (7, ""), (7, t[6]), (8, None)], key=str)
+
+
 def test_cross_pairs_are_all_pairs_across_components():
     rng = np.random.default_rng(3)
     token, component = np.sort(rng.integers(0, 12, 200)), rng.integers(0, 4, 200)
