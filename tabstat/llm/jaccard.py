@@ -28,6 +28,8 @@ PERCENT = 80
 #: Binary logarithm of the counters of the frequency sketch: 4 MB, and up to 64 MB on large inputs.
 SKETCH_BITS = (20, 24)
 _BLOCKS = 64
+#: Most rows (16 bytes each) of a list of rows that go which is broadcast; a longer one is joined.
+BROADCAST_ROWS = 2_000_000
 
 
 class Sets:
@@ -78,22 +80,25 @@ def sketch_bits(rows: DataFrame) -> int:
 
 
 def _profile(rows: DataFrame, size: int, bits: int) -> DataFrame:
-    """Per document: id, n, the class key; per task: blocks of shingle counts."""
+    """Per document: id, sign, n, the class key; per task: blocks of shingle counts."""
     width = (1 << bits) // _BLOCKS
+    kinds = {"id": pa.int64(), "sign": pa.int64(), "n": pa.int64(), "key": pa.int64(), "block": pa.int32(), "counts": pa.binary()}
 
     def scan(batches):
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            ids, n, key = S.ids_of(batch), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            n, key = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for _, _, data, offsets in K.text_slices(batch.column(1)):
                 sets = Sets(data, offsets, size)
                 np.add.at(counts, (sets.value >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
                 n.append(sets.n)
                 key.append(class_key(*sets.prints(), sets.n))
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "n": pa.array(np.concatenate(n)), "key": pa.array(np.concatenate(key)), "block": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
-        yield pa.RecordBatch.from_pydict({"id": pa.nulls(_BLOCKS, pa.int64()), "n": pa.nulls(_BLOCKS, pa.int64()), "key": pa.nulls(_BLOCKS, pa.int64()), "block": pa.array(range(_BLOCKS), pa.int32()), "counts": pa.array([counts[i * width : (i + 1) * width].tobytes() for i in range(_BLOCKS)], pa.binary())})
+            columns = {"id": batch.column(0), "sign": batch.column(2), "n": pa.array(np.concatenate(n)), "key": pa.array(np.concatenate(key))}
+            yield pa.RecordBatch.from_pydict({c: columns.get(c, pa.nulls(batch.num_rows, k)) for c, k in kinds.items()})
+        columns = {"block": pa.array(range(_BLOCKS), pa.int32()), "counts": pa.array([counts[i * width : (i + 1) * width].tobytes() for i in range(_BLOCKS)], pa.binary())}
+        yield pa.RecordBatch.from_pydict({c: columns.get(c, pa.nulls(_BLOCKS, k)) for c, k in kinds.items()})
 
-    return rows.select("id", "text").mapInArrow(S.lean(scan), "id bigint, n bigint, key bigint, block int, counts binary")
+    return rows.select("id", "text", "sign").mapInArrow(S.lean(scan), "id bigint, sign bigint, n bigint, key bigint, block int, counts binary")
 
 
 def _sketch(profile: DataFrame, bits: int) -> np.ndarray:
@@ -175,15 +180,18 @@ def _nearest(posts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     In a posting list a group meets the hub of its size class: the group with most
     shared prefix shingles, which in a family of edited copies is one close to the
     original. Size classes overlap by half, so that copies meet in one of them. Of
-    all its hubs a group keeps the two that it meets most. Hubs are found by
-    partial aggregation, however long a list is.
+    all its hubs a group keeps the two that it meets most, if the shingles it meets
+    them by are enough for a link. Hubs are found by partial aggregation, however
+    long a list is.
     """
     fame = posts.groupBy("grp").agg(F.count("*").alias("fame"))
     step = np.log(100 / percent)
     classes = F.array(*(F.floor(F.log("n") / step + shift / 2).cast("int") * 2 + shift for shift in (0, 1)))
     listed = posts.join(fame, "grp").select("token", "grp", "n", "fame", F.explode(classes).alias("cls"))
-    hubs = listed.groupBy("token", "cls").agg(F.max(F.struct("fame", "grp")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", "cls", F.col("hub.grp").alias("other"))
-    met = listed.join(hubs, ["token", "cls"]).where("grp <> other").groupBy("grp", "other").count()
+    hubs = listed.groupBy("token", "cls").agg(F.max(F.struct("fame", "grp", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", "cls", F.col("hub.grp").alias("other"), F.col("hub.n").alias("m"))
+    # A pair may share a list in both of its size classes: it counts once.
+    met = listed.join(hubs, ["token", "cls"]).where(f"grp <> other AND least(n, m) * 100 >= {percent} * greatest(n, m)").select("token", "grp", "other", "n", "m").distinct().groupBy("grp", "other", "n", "m").count()
+    met = met.where(f"count + ceil({percent} * greatest(n, m) / 100) - 1 >= ceil({percent} * (n + m) / {100 + percent})")
     ranked = met.groupBy("grp").agg(F.expr("slice(sort_array(collect_list(struct(count, other)), false), 1, 2)").alias("top"))
     best = ranked.select("grp", F.explode("top").alias("t")).select("grp", F.col("t.other").alias("other"))
     head = members.groupBy("grp").agg(F.min("key").alias("key"))
@@ -304,8 +312,9 @@ def _remaining(posts: DataFrame, members: DataFrame, log_p: int, percent: int) -
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame, log_p: int, size: int) -> DataFrame:
-    """(key, rep, text) of the wanted (key, rep): a bitmap of ids spares the other texts the shuffle."""
-    bits = rows.sparkSession.sparkContext.broadcast(S.bitmap(S.id_hashes(wanted.select("rep"), log_p), log_p, repeated=False))
+    """(key, text) of the wanted (key, rep): a bitmap of ids spares the other texts the shuffle."""
+    log_p = S.bitmap_parts(log_p)
+    bits = rows.sparkSession.sparkContext.broadcast(S.bitmap(S.id_hashes(wanted.select("rep"), log_p), log_p)[0])
 
     def scan(batches):
         for batch in batches:
@@ -319,11 +328,15 @@ def _fetch(rows: DataFrame, wanted: DataFrame, log_p: int, size: int) -> DataFra
             yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(key)), "rep": pa.array(ids[mine]), "text": text})
 
     found = rows.select("id", "text").mapInArrow(S.lean(scan), "key bigint, rep bigint, text string")
-    return found.join(wanted, ["key", "rep"], "left_semi").dropDuplicates(["key"])
+    return found.join(wanted, ["key", "rep"], "left_semi").dropDuplicates(["key"]).select("key", "text")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (as ids of their classes) whose similarity reaches the threshold."""
+def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, scratch: S.Scratch, log_p: int, size: int, percent: int) -> DataFrame:
+    """Those of the class pairs whose similarity reaches the threshold, by the texts of the classes in pairs."""
+    pairs = scratch.table(pairs)
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", F.coalesce("rep", F.lit(int(S.NULL_ID))).alias("rep"))
+    wanted = scratch.table(wanted)
+    texts = scratch.table(_fetch(rows, wanted, log_p, size))
 
     def check(batches):
         for batch in batches:
@@ -341,55 +354,103 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
             mask = pa.array(np.concatenate(keep)) if keep else pa.array([], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    left = texts.select(F.col("key").alias("a"), F.col("rep").alias("ra"), F.col("text").alias("ta"))
-    right = texts.select(F.col("key").alias("b"), F.col("rep").alias("rb"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("ra", "rb", "ta", "tb").mapInArrow(S.lean(check), "a bigint, b bigint")
+    left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
+    out = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(S.lean(check), "a bigint, b bigint"))
+    scratch.free(pairs, wanted, texts)
+    return out
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Components of documents under Jaccard similarity of word shingles.
-
-    A document's set is its distinct ``size``-word shingles, the whole sequence if
-    it has fewer words. Words are runs of non-blank characters with A-Z
-    lower-cased. Documents link when 100 * intersection >= percent * union. Returns
-    one row per input row: ``id``, ``n_shingles`` and ``component``, the least id
-    that links lead to.
+def _links(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, scratch: S.Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (id, sign, n, key), classes of equal sets (key, rep: least id, null if they have none), and links (a, b) of classes.
 
-    Null, empty or blank texts have an empty set and link with nothing. A null id
-    sorts after every other and stays null. Rows that share an id are one node with
-    the links of all their texts. Other columns are not read. Sets are named by
-    64-bit fingerprints and compared by 64-bit shingle hashes.
+    The links join all classes that are similar, if not pair by pair.
     """
     if size < 1 or not 50 <= percent <= 100:
         raise ValueError("size must be positive and percent 50 to 100")
     spark = docs.sparkSession
     S.tune(spark)
-    rows = S.texts(docs, id_col, text_col).select("id", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
+    rows = S.texts(docs, id_col, text_col).select("id", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"), F.xxhash64("text").alias("sign"))
     log_p = S.log_parts(rows)
     bits = sketch_bits(rows)
-    profile = S.write_table(_profile(rows, size, bits))
-    classes = S.write_table(profile.where("n > 0").groupBy("key").agg(F.min("id").alias("rep")))
+    profile = scratch.table(_profile(rows, size, bits))
+    documents = profile.where("block IS NULL").select("id", "sign", "n", "key")
+    classes = scratch.table(documents.where("n > 0").groupBy("key").agg(F.min("id").alias("rep")))
     sketch = spark.sparkContext.broadcast(_sketch(profile, bits))
-    met = S.write_table(_postings(rows, sketch, bits, log_p, size, percent))
+    met = scratch.table(_postings(rows, sketch, bits, log_p, size, percent))
+    sketch.unpersist()
+    scratch.sweep()
     posts = met.where("kind = 0").drop("kind")
     members = met.where("kind = 1").select("grp", F.col("token").alias("key")).distinct()
     shared = posts.select("grp").union(members.groupBy("grp").count().where("count > 1").select("grp")).distinct()
-    members = S.write_table(members.join(shared, "grp", "left_semi").join(classes, "key").select("grp", "key", "rep"))
-    texts = S.write_table(_fetch(rows, members.select("key", "rep").distinct(), log_p, size))
-    first = S.write_table(_verify(_nearest(posts, members, percent), texts, size, percent))
-    joined = S.write_table(S.components(first))
-    own = members.join(joined, members.rep == joined.node, "left").select("grp", "key", F.coalesce("component", "rep").alias("component"))
-    second = _verify(_remaining(posts, S.write_table(own), log_p, percent), texts, size, percent)
-    final = S.write_table(S.components(first.union(second)))
-    documents = profile.where("block IS NULL").select("id", F.col("n").alias("n_shingles"), "key")
-    least = classes.join(final, classes.rep == final.node, "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = documents.join(least, "key", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
-    real = lambda c: F.when(F.col(c) != int(S.NULL_ID), F.col(c)).alias(c)
-    return out.select(real("id"), "n_shingles", real("component"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each component: the one that names it. Documents without words stay."""
-    linked = link_components(docs, id_col, text_col, **how)
-    gone = linked.where("component <> id").select(F.col("id").alias("gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("bigint") == gone["gone"], "left_anti")
+    members = scratch.table(members.join(shared, "grp", "left_semi"))
+    first = _verified(rows, _nearest(posts, members, percent), classes, scratch, log_p, size, percent)
+    joined = scratch.table(S.components(first, scratch))
+    scratch.sweep()
+    own = scratch.table(members.join(joined, members.key == joined.node, "left").select("grp", "key", F.coalesce("component", "key").alias("component")))
+    second = _verified(rows, _remaining(posts, own, log_p, percent), classes, scratch, log_p, size, percent)
+    scratch.free(met, members, joined, own)
+    return documents, classes, first.union(second)
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Components of documents under Jaccard similarity of word shingles.
+
+    A document's set is its distinct ``size``-word shingles, the whole sequence if
+    it has fewer words. Words are runs of non-blank characters with A-Z
+    lower-cased. Documents link when 100 * intersection >= percent * union. Returns
+    one row per input row, from a table in the shared folder: ``id``, ``n_shingles``
+    and ``component``, the least id that links lead to.
+
+    Null, empty or blank texts have an empty set and link with nothing. Rows that
+    share an id are one node with the links of all their texts. Each row with a
+    null id is a node of its own: it links as its text does and never names a
+    component; a component of such rows alone is null. Other columns are not read.
+    Sets are named by 64-bit fingerprints and compared by 64-bit shingle hashes.
+    """
+    scratch = S.Scratch(docs.sparkSession)
+    documents, classes, links = _links(docs, id_col, text_col, size, percent, scratch)
+    # Ids with several sets tie them together; an empty set is none's link but follows its id.
+    several = scratch.table(documents.where("id IS NOT NULL").groupBy("id").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.min(F.when(F.col("n") > 0, F.col("key"))).alias("a")).where("x <> y").select("id", "a"))
+    ties = documents.where("n > 0").join(several, "id").select("a", F.col("key").alias("b")).distinct()
+    final = scratch.table(S.components(links.union(ties), scratch))
+    named = classes.join(final, classes.key == final.node, "left").select("key", F.coalesce("component", "key").alias("tie"), "rep")
+    named = scratch.table(named)
+    least = named.groupBy("tie").agg(F.min("rep").alias("component"))
+    of_class = named.join(least, "tie").select("key", "component")
+    out = documents.join(of_class, "key", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    if not several.isEmpty():
+        tied = out.join(several.select("id"), "id").groupBy("id").agg(F.min("component").alias("least"))
+        out = out.join(tied, "id", "left").select("id", "n_shingles", F.coalesce("least", "component").alias("component"))
+    result = scratch.keep(scratch.table(out))
+    scratch.free()
+    return result
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group of linked texts: the one with the least id, null ids last.
+
+    Only texts link here: rows that share an id but not the text are judged by
+    their texts. Of rows equal in id and text one stays, whichever it is. Rows
+    without words stay. The list of rows that go is a table in the shared folder;
+    it is broadcast while small.
+    """
+    scratch = S.Scratch(docs.sparkSession)
+    documents, classes, links = _links(docs, id_col, text_col, size, percent, scratch)
+    final = scratch.table(S.components(links, scratch))
+    of_class = classes.join(final, classes.key == final.node, "left").select("key", F.coalesce("component", "key").alias("component"))
+    own = documents.where("n > 0").join(of_class, "key").select("component", F.struct(F.col("id").isNull().alias("none"), "id", "key", "sign").alias("row"))
+    best = own.groupBy("component").agg(F.min("row").alias("best"), F.count("*").alias("c")).where("c > 1").drop("c")
+    listed = own.join(best, "component").select("row.id", "row.sign", (F.col("row.id").eqNullSafe(F.col("best.id")) & (F.col("row.sign") == F.col("best.sign"))).alias("best"))
+    listed = scratch.table(listed.groupBy("id", "sign", "best").agg(F.count("*").alias("c")))
+    gone = scratch.keep(scratch.table(listed.where("NOT best").select(F.col("id").alias("i"), F.col("sign").alias("s")).distinct()))
+    again = scratch.keep(scratch.table(listed.where("best AND c > 1").select(F.col("id").alias("i"), F.col("sign").alias("s"))))
+    scratch.free()
+    few = gone.count() <= BROADCAST_ROWS
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("bigint").alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("sign"))
+    match = F.col("id").eqNullSafe(F.col("i")) & (F.col("sign") == F.col("s"))
+    rows = rows.join(F.broadcast(gone) if few else gone, match, "left_anti")
+    if not again.isEmpty():
+        repeated = rows.join(again, match, "left_semi").groupBy("id", "sign").agg(F.first("row").alias("row"))
+        rows = rows.join(again, match, "left_anti").select("row").union(repeated.select("row"))
+    return rows.select("row.*")
