@@ -24,14 +24,22 @@ _BAD = "label=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ://, up to ? or #; empty without ://. Plain searches: a pattern that recurses would end the JVM on a long url."""
+    url = F.coalesce(url, F.lit(""))
+    rest = F.when(F.contains(url, F.lit("://")), F.substring(url, F.locate("://", url) + 3, F.length(url))).otherwise("")
+    return F.substring_index(F.substring_index(rest, "?", 1), "#", 1)
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, with A-Z lower-cased; empty without ://."""
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*://([^/?#]*)", 1), _UPPER, _LOWER)
+    return F.translate(F.substring_index(_after_scheme(url), "/", 1), _UPPER, _LOWER)
 
 
 def path_of(url: Column) -> Column:
     """After the host up to ?, # or the end."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*://[^/?#]*([^?#]*)", 1)
+    rest = _after_scheme(url)
+    return F.substring(rest, F.length(F.substring_index(rest, "/", 1)) + 1, F.length(rest))
 
 
 def tokens_of(host: Column, path: Column) -> Column:

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import re
+import time
 import zipfile
 
 import numpy as np
@@ -374,6 +375,10 @@ def test_urls(spark):
         "http://x.com?u=http://y.org/": ("x.com", "", None, "allow"),
         None: ("", "", None, "allow"),
     }
+    cases["a\U0001F600" * 300_000] = ("", "", None, "allow")
+    cases["http://x.org/" + "a\U0001F600" * 300_000 + "?q"] = ("x.org", "/" + "a\U0001F600" * 300_000, "org/", "allow")
+    cases["http://"] = ("", "", None, "allow")
+    cases["a:/b://C.org://x"] = ("c.org:", "//x", None, "allow")
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(cases)], "page_id bigint, url string, host string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = {r.id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, labels).collect()}
@@ -410,6 +415,65 @@ def test_main_text():
     assert html.main_text(html.parse("plain <b>text</b>")) == "plain text"
 
 
+def test_main_text_keeps_what_is_no_box():
+    text = lambda inner: html.main_text(html.parse(f"<article>{inner}</article>"))
+    assert text('<p>One</p><svg width="1"/><p>Two</p>') == "One\n\nTwo"
+    assert text("<p>One</p><svg><g><text>x</text></g></svg><p>Two</p>") == "One\n\nTwo" == text("<p>One</p><svg><g><p>Two</p>")
+    assert text("<p title=it's>Hello</p><p>Don't go</p>") == "Hello\n\nDon't go"
+    assert text('<p title="a > b">Hello</p>') == "Hello" and text("<script src=x>") == ""
+    for own in ('<p class="share-price">', '<p class="navy">', '<section id="related-work">', '<p class="search">', '<p class="ad">', '<div class="navy">', '<td class="menu">'):
+        assert text(own + "Own words") == "Own words"
+    for own in ('<div class="ad">', '<div id="comments">', '<ul class="site-nav">', '<section class="x cookie-banner">', '<div role="complementary">', "<div hidden>"):
+        assert text(f"<p>A</p>{own}Other words</{own[1:].split()[0]}><p>B</p>".replace(">>", ">")) == "A\n\nB", own
+    for inner in ("<b>" * 150_000 + "</i>" * 100_000, "<i>" + "<p><b>" * 50_000 + "</i>" * 100_000, "<div>" * 100_000, "<p>" * 200_000 + "</div>" * 50_000, "<svg>" * 100_000 + "<p>x" * 100_000, '<a x="' * 150_000, "<script>" * 3000):
+        began = time.process_time()
+        html.main_text(html.parse(inner))
+        assert time.process_time() - began < 20, inner[:10]
+
+
+def brute_templates(rows):
+    """Host and text of the boxes and paragraphs that are template, for pages of flat elements without a marked article."""
+    pages, out = {}, set()
+    for _, url, page in rows:
+        pages.setdefault(url.split("/")[2], []).append(page)
+    for host, own in pages.items():
+        parts = [set(re.findall(r"<p>(.*?)</p>", x)) for x in own]
+        titles = [re.search(r"<h1>(.*?)</h1>", x)[1] for x in own]
+        for t in set().union(*parts):
+            at = [i for i, x in enumerate(parts) if t in x]
+            if len(at) >= max(5, 0.3 * len(own)) and 2 * len({titles[i] for i in at}) >= len(at) and len({titles[i] for i in at}) >= 4:
+                out.add((host, t))
+    return out
+
+
+def test_templates_of_pages_without_a_mark_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for h, n in enumerate((3, 8, 40)):
+        boiler = [f"Line {k} of site {h}" for k in range(6)]
+        for i in range(n):
+            lines = [x for k, x in enumerate(boiler) if rng.random() < 0.15 + 0.15 * k] + [f"Own {j} of {h} {i}" for j in range(3)]
+            copied = i % 8 == 7
+            if copied:
+                lines = [f"Copied {j} of {h}" for j in range(4)] + [f"Edit {i}"]
+            rng.shuffle(lines)
+            rows.append((len(rows), f"http://site{h}.com/{i}", f"<h1>{'Copy' if copied else f'Title {h} {i}'}</h1>" + "".join(f"<p>{x}</p>" for x in lines)))
+    gone = brute_templates(rows)
+    assert len(gone) > 5
+    for way in ({}, {"broadcast_bytes": 0}):
+        got = {r.id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3), **way).collect()}
+        for i, url, page in rows:
+            parts = re.findall(r"<(?:p|h1)>(.*?)</", page)
+            assert got[i] == "\n\n".join(x for x in parts if (url.split("/")[2], x) not in gone)
+
+
+def test_extract_of_odd_tables(spark):
+    rows = [(1, "http://a/", "<p>x</p>", "h"), (1, "http://a/", "<p>x</p>", "h"), (None, None, None, None), (2, "a\U0001F600" * 300_000, "<p>y</p>", "h")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, template string")
+    assert sorted(((r.id, r.text) for r in html.extract(df).collect()), key=str) == [(1, "x"), (1, "x"), (2, "y"), (None, "")]
+    assert html.extract(df.limit(0)).count() == 0
+
+
 def test_templates_go_by_host(spark):
     body = "<div><p>Welcome to our little site of things</p></div><div><p>Own words of page number %d here</p></div>"
     rows = [(i, "http://a.com/%d" % i, body % i) for i in range(8)] + [(90, "http://b.com/", body % 90), (91, None, None), (92, "http://a.com/x", "")]
