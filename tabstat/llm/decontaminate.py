@@ -18,7 +18,11 @@ _HITS = "id bigint, n_words bigint, starts array<int>, lengths array<int>, items
 
 
 class _Grams:
-    """Windows of some items by length: sorted hashes, the windows' words, and the items that have them."""
+    """Windows of some items by length: sorted hashes, and for each window's words the number of its set of items.
+
+    Sets of items are numbered, so that a hit costs one number however many items
+    share its window.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
         found: dict[int, dict[bytes, list[str]]] = {}
@@ -31,6 +35,7 @@ class _Grams:
                 owners = found.setdefault(size, {}).setdefault(b" ".join(spans[i : i + size]), [])
                 if owners[-1:] != [item]:
                     owners.append(item)
+        sets: dict[tuple[str, ...], int] = {}
         self.by_length = {}
         for size, grams in found.items():
             joined = b"\n".join(grams)
@@ -40,7 +45,8 @@ class _Grams:
             keep = np.unique(hashes)
             few = np.zeros(1 << 20, bool)
             few[(keep & np.uint64(0xFFFFF)).astype(np.int64)] = True
-            self.by_length[size] = (few, keep, {g: sorted(set(o)) for g, o in grams.items()})
+            self.by_length[size] = (few, keep, {g: sets.setdefault(tuple(o), len(sets)) for g, o in grams.items()})
+        self.sets = list(sets)
 
 
 def _scan(docs: DataFrame, block, first: bool) -> DataFrame:
@@ -53,7 +59,7 @@ def _scan(docs: DataFrame, block, first: bool) -> DataFrame:
                 data = K.LOWER[raw]
                 words = K.Words(data, offsets, K.ALNUM_WORDS)
                 n_words.append(words.counts)
-                rows = [([], [], []) for _ in words.counts]
+                rows = [([], [], set()) for _ in words.counts]
                 h, room, row = words.hashes(), words.room(), None
                 for size, (few, keep, grams) in block.value.by_length.items():
                     g = K.window_hashes(h, size)
@@ -63,13 +69,14 @@ def _scan(docs: DataFrame, block, first: bool) -> DataFrame:
                         row = words.text_of_word()
                     for i in at.tolist():
                         owners = grams.get(b" ".join(data[a:b].tobytes() for a, b in zip(words.start[i : i + size], words.end[i : i + size], strict=True)))
-                        if owners:
+                        if owners is not None:
                             r = int(row[i])
                             rows[r][0].append(i - int(words.first[r]))
                             rows[r][1].append(size)
-                            rows[r][2].extend(owners)
+                            rows[r][2].add(owners)
                 hits += rows
-            starts, lengths, items = zip(*hits, strict=True) if hits else ((), (), ())
+            starts, lengths, owners = zip(*hits, strict=True) if hits else ((), (), ())
+            items = [list(set().union(*(block.value.sets[k] for k in own))) for own in owners]
             if not first:
                 before = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("starts", "lengths", "items")]
                 starts, lengths, items = ([a + b for a, b in zip(x, y, strict=True)] for x, y in zip(before, (starts, lengths, items), strict=True))
@@ -103,8 +110,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         raise ValueError("n and block_bytes must be positive")
     spark = docs.sparkSession
     S.tune(spark)
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     out = S.texts(docs, id_col, text_col, carry)
     for b in range(blocks):

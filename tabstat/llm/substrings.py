@@ -164,7 +164,7 @@ def repeats(rows: DataFrame, log_p: int, window: int, anchor: int, **how) -> Dat
     return found.groupBy("part").applyInArrow(S.lean_group(settle), A.SPANS)
 
 
-def _join_words(words: K.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def join_words(words: K.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the kept words of each text, joined by one space."""
     row = words.text_of_word()[keep]
     start, length = words.start[keep], (words.end - words.start)[keep]
@@ -225,7 +225,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 words = K.Words(data, offsets, inside)
                 gone = spans.cover(ids[low:high], data, offsets, words.first, len(words.start))
                 removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[words.first])
-                kept = string_array(*(_join_words if layout == "words" else _cut_words)(words, ~gone))
+                kept = string_array(*(join_words if layout == "words" else _cut_words)(words, ~gone))
                 part = batch.slice(low, high - low)
                 if layout == "text":
                     kept = pc.if_else(pc.is_null(part.column(part.schema.get_field_index("text"))), pa.scalar(None, pa.string()), kept)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabstat.llm import spread as S
+
 #: (verdict, host, path)
 RULES = (
     ("allow", "org", "/"),
@@ -20,6 +23,8 @@ MIN_SUPPORT = 0.001
 MIN_CONFIDENCE = 0.5
 #: Fewest bad pages behind a mined rule, however few pages are labelled.
 MIN_PAGES = 5
+#: Most tokens of all rules that are broadcast; more are joined.
+BROADCAST_TOKENS = 100_000
 _BAD = "label=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,33 +66,59 @@ def listed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return name, verdict
 
 
-def mine(pages: DataFrame, labels: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Token combinations whose labelled pages are mostly bad: ``antecedent``, ``confidence``, ``support``.
+def mine(pages: DataFrame, labels: DataFrame, scratch: S.Scratch, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
+    """Token combinations whose labelled pages are mostly bad, as rules over kinds of tokens.
 
-    pages: key, host, path; labels: key, bad (boolean). FP-growth runs distributed
-    on the labelled pages; rules of any length are pruned by support and confidence.
+    pages: key, host, path; labels: key, bad (boolean). Returns the rules
+    (``antecedent``: kinds, ``confidence``, ``support``) and the kinds of tokens
+    (token, kind, n: labelled pages). Tokens of the same labelled pages are one kind:
+    each of them alone says as much as all together, so a rule asks for one token of
+    each of its kinds. A kind that is bad enough alone is a rule, and its supersets
+    add nothing; FP-growth runs distributed on the other kinds that enough bad pages
+    have. Rules of any length are pruned by support and confidence alone.
     """
-    marked = pages.join(labels, "key").select(F.array_union(tokens_of(F.col("host"), F.col("path")), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    marked = scratch.table(pages.join(labels, "key").select(F.monotonically_increasing_id().alias("row"), "bad", tokens_of(F.col("host"), F.col("path")).alias("tokens")))
+    least = max(min_support * marked.count(), min_pages)
+    tokens = marked.select("row", "bad", F.explode("tokens").alias("token"))
+    sign = lambda *c: F.sum(F.xxhash64("row", *c).cast("decimal(20,0)"))
+    by_token = tokens.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("b"), sign().alias("x"), sign(F.lit(1)).alias("y")).where(F.col("b") >= least)
+    kinds = scratch.table(by_token)
+    kinds = scratch.table(kinds.join(kinds.groupBy("n", "b", "x", "y").agg(F.min("token").alias("kind")), ["n", "b", "x", "y"]).select("token", "kind", "n", "b"))
+    own = kinds.where("token = kind").select("kind", "n", "b")
+    enough = F.col("b") >= F.col("n") * min_confidence
+    alone = own.where(enough).select(F.array("kind").alias("antecedent"), (F.col("b") / F.col("n")).alias("confidence"), (F.col("b") / F.lit(max(1, marked.count()))).alias("support"))
+    rest = own.where(~enough).select(F.col("kind").alias("token"))
+    baskets = tokens.join(rest, "token").groupBy("row", "bad").agg(F.collect_list("token").alias("items"))
+    baskets = scratch.table(baskets.select(F.concat("items", F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items")))
+    n = baskets.count()
+    if not n:
+        return alone, kinds
     # Half a page less, as the product with the count is rounded up.
-    min_support = max(min_support, (min_pages - 0.5) / max(1, marked.count()))
-    if min_support > 1:
-        return marked.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(marked)
-    return model.associationRules.where(F.col("consequent")[0] == _BAD).select("antecedent", "confidence", "support")
+    found = FPGrowth(itemsCol="items", minSupport=max(0.0, (math.ceil(least) - 0.5) / n)).fit(baskets).freqItemsets
+    bad = found.where(F.array_contains("items", _BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", _BAD)).alias("antecedent"), F.col("freq").alias("b"))
+    every = found.where(~F.array_contains("items", _BAD)).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("n"))
+    longer = bad.join(every, "antecedent").where(enough).select("antecedent", (F.col("b") / F.col("n")).alias("confidence"), (F.col("b") / F.lit(marked.count())).alias("support"))
+    return alone.union(longer), kinds
 
 
-def matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Keys of the pages that hold all tokens of some rule.
+def matches(pages: DataFrame, rules: DataFrame, kinds: DataFrame, scratch: S.Scratch) -> DataFrame:
+    """Keys of the pages that hold a token of every kind of some rule.
 
-    An inverted index lists each rule under its rarest token, so that no common
-    token (a scheme or a top domain) gathers the pages of every rule.
+    An inverted index lists each rule under its rarest kind on labelled pages, so
+    that no common token (a scheme or a top domain) gathers the pages of every rule.
+    The tokens of all rules are broadcast while they are few.
     """
-    index = rules.withColumn("rule", F.monotonically_increasing_id()).select("rule", "antecedent", F.explode("antecedent").alias("token"))
-    rarity = index.groupBy("token").agg(F.count("*").alias("uses"))
-    index = index.join(rarity, "token").groupBy("rule").agg(F.first("antecedent").alias("antecedent"), F.min_by("token", F.struct("uses", "token")).alias("token"))
-    index = index.groupBy("token").agg(F.collect_list("antecedent").alias("rules"))
-    tokens = pages.select("key", F.explode(F.col("tokens")).alias("token"), "tokens")
-    return tokens.join(index, "token").where(F.exists("rules", lambda r: F.size(F.array_except(r, F.col("tokens"))) == 0)).select("key").distinct()
+    rules = scratch.table(rules.withColumn("rule", F.monotonically_increasing_id()))
+    index = rules.select("rule", "antecedent", F.explode("antecedent").alias("kind"))
+    used = scratch.table(kinds.join(index.select("kind").distinct(), "kind").select("token", "kind", "n"))
+    rare = index.join(used.select("kind", "n").distinct(), "kind").groupBy("rule").agg(F.first("antecedent").alias("antecedent"), F.min_by("kind", F.struct("n", "kind")).alias("kind"))
+    index = scratch.table(rare.groupBy("kind").agg(F.collect_list("antecedent").alias("rules")))
+    few = used.count() <= BROADCAST_TOKENS
+    near = F.broadcast if few else lambda x: x
+    tokens = pages.select("key", F.explode("tokens").alias("token")).join(near(used.select("token", "kind")), "token")
+    held = tokens.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
+    held = held.select("key", "kinds", F.explode("kinds").alias("kind")).join(near(index), "kind")
+    return held.where(F.exists("rules", lambda r: F.size(F.array_except(r, F.col("kinds"))) == 0)).select("key").distinct()
 
 
 def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", *, label_id_col: str = "doc_id", rules: Sequence[tuple[str, str, str]] = RULES, **how) -> DataFrame:
@@ -108,10 +139,12 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     name, verdict = listed_rule(F.col("host"), F.col("path"), rules)
     parsed = parsed.select("id", "host", "path", name.alias("rule"), verdict.alias("listed"))
     bad = labels.groupBy(labels[label_id_col].alias("id")).agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad")).where("id IS NOT NULL")
-    mined = mine(parsed.select(F.col("id").alias("key"), "host", "path").where("host <> ''"), bad.withColumnRenamed("id", "key"), **how)
+    scratch = S.Scratch(pages.sparkSession)
+    mined, kinds = mine(parsed.select(F.col("id").alias("key"), "host", "path").where("host <> ''"), bad.withColumnRenamed("id", "key"), scratch, **how)
     # Pages with one host and path have one verdict: matching works on distinct urls.
     urls = parsed.select("host", "path").where("host <> '' OR path <> ''").distinct().select(F.struct("host", "path").alias("key"), tokens_of(F.col("host"), F.col("path")).alias("tokens"))
-    hit = matches(urls, mined).select("key.host", "key.path", F.lit(True).alias("hit"))
+    hit = scratch.keep(scratch.table(matches(urls, mined, kinds, scratch).select("key.host", "key.path", F.lit(True).alias("hit"))))
+    scratch.free()
     out = parsed.join(hit, ["host", "path"], "left")
     found = F.coalesce("hit", F.lit(False))
     return out.select("id", "host", "path", "rule", F.coalesce("listed", F.when(found, "block").otherwise("allow")).alias("verdict"), found.alias("mined"))

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import itertools
 import re
 import time
 import zipfile
@@ -403,6 +404,32 @@ def test_mined_rules_of_four_tokens_block(spark):
     assert {r.id for r in got.where("verdict = 'block'").collect()} == set(range(6))
 
 
+def test_mined_rules_against_brute_force(spark, monkeypatch):
+    """Every combination of tokens, enumerated; a path of 24 tokens that go together is one kind."""
+    rng = np.random.default_rng(12)
+    words, long = ["a", "b", "c", "d", "e"], "/".join(f"l{i}" for i in range(24))
+    rows = []
+    for i in range(240):
+        own = [w for w in words if rng.random() < 0.5]
+        bad = {"a", "b"} <= set(own) or {"c", "d", "e"} <= set(own) or rng.random() < 0.1
+        rows.append((i, "http://x/" + "/".join(own + [long] * (i % 9 == 0)), int(bad)))
+    labels = [(i, 1 - bad, 0) for i, _, bad in rows if i < 200]
+    tokens = [{"h:x"} | {"p:" + w for w in u.split("/")[3:] if w} for _, u, _ in rows]
+    rules = []
+    for k in range(1, 8):
+        for some in itertools.combinations(["h:x", "p:l0", *("p:" + w for w in words)], k):
+            on = [rows[i][2] for i in range(200) if set(some) <= tokens[i]]
+            if sum(on) >= 5 and sum(on) >= 0.7 * len(on):
+                rules.append(set(some))
+    want = {i for i, t in enumerate(tokens) if any(r <= t for r in rules)}
+    assert 20 < len(want) < 220
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id bigint, url string")
+    for most in (urls.BROADCAST_TOKENS, 0):
+        monkeypatch.setattr(urls, "BROADCAST_TOKENS", most)
+        got = urls.judge(pages, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), min_confidence=0.7)
+        assert {r.id for r in got.where("mined").collect()} == want
+
+
 # 2: html
 
 
@@ -556,6 +583,52 @@ def test_best_fit():
     assert packing.best_fit([]) == ([], [], [])
 
 
+def naive_bins(lengths, opens):
+    """Best fit, bin by bin: capacities after downsizing."""
+    sizes, open_, used = sorted(opens), [], []
+    for n in sorted(lengths, reverse=True):
+        fits = [b for b in range(len(used)) if open_[b] - used[b] >= n]
+        if fits:
+            b = min(fits, key=lambda b: open_[b] - used[b])
+        else:
+            b = len(used)
+            open_.append(opens[next(c for c in sizes if c >= n)])
+            used.append(0)
+        used[b] += n
+    return sorted(next(c for c in sizes if c >= u) for u in used)
+
+
+def test_best_fit_against_brute_force():
+    rng = np.random.default_rng(13)
+    price = lambda found: sum(packing.cost(c) for c in found)
+    cases = [([300] * 40, packing.CAPACITIES), ([257] * 10, packing.CAPACITIES), ([700] * 30, packing.CAPACITIES)]
+    cases += [(rng.integers(1, 101, int(rng.integers(1, 40))).tolist(), (25, 50, 100)) for _ in range(60)]
+    for lengths, sizes in cases:
+        falling = sorted(lengths, reverse=True)
+        every = [dict(zip(sizes, c, strict=True)) for c in itertools.product(sizes, repeat=len(sizes)) if all(a >= b for a, b in zip(c, sizes, strict=True))]
+        for opens in every:
+            assert sorted(packing.fill_bins(falling, opens)[2]) == naive_bins(lengths, opens)
+        own = price(packing.best_fit(lengths, sizes)[2])
+        assert own <= min(price(naive_bins(lengths, {c: max(c, one) for c in sizes})) for one in sizes)
+        assert own <= 1.05 * min(price(naive_bins(lengths, opens)) for opens in every)
+    assert price(packing.best_fit([300] * 40)[2]) <= 14_896 and price(packing.best_fit([257] * 10)[2]) <= 3_424 and price(packing.best_fit([700] * 30)[2]) <= 30_816
+
+
+def test_packing_is_repeatable_and_keeps_the_text(spark, docs, rows):
+    table = docs.union(docs.where("doc_id = 20"))
+    ways = [packing.pack(table.repartition(k), capacities=(64, 128), shard_documents=25, with_text=True) for k in (1, 5)]
+    got = [sorted((tuple(r) for r in w.collect()), key=str) for w in ways]
+    assert got[0] == got[1]
+    texts = {}
+    for r in got[0]:
+        texts.setdefault(r[0], []).append((r[1], r[8]))
+    for d, t, *_ in rows:
+        pieces = sorted(set(texts[d]))
+        assert " ".join(x for _, x in pieces).strip() == " ".join(BLANK.findall(t or ""))
+    whole = packing.sequences(ways[0]).collect()
+    assert sum(r.n_words for r in whole) == sum(r[3] for r in got[0]) and all(len(r.text.split(" ")) == r.n_words <= r.capacity for r in whole)
+
+
 def test_packing_covers_all_words(spark, docs, rows):
     got = packing.pack(docs, capacities=(64, 128), shard_documents=25).collect()
     n = {d: len(BLANK.findall(t or "")) for d, t, *_ in rows}
@@ -641,5 +714,9 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
             assert set(got) == clean and all(got[d] == dict(kept)[d] for d in got)
         kept, docs = sorted(got.items()), out
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
-    assert packed.agg(F.sum("n_words")).first()[0] == sum(len(BLANK.findall(t)) for _, t in kept)
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+    packed = packed.collect()
+    assert sum(r.n_words for r in packed) == sum(len(BLANK.findall(t)) for _, t in kept)
+    assert sorted(w for r in packed for w in r.text.split(" ")) == sorted(w for _, t in kept for w in BLANK.findall(t))
+    assert {d for r in packed for d in r.doc_ids} == {d for d, _ in kept}
+    again = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, packed))
