@@ -79,8 +79,8 @@ _BLANK = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
-_TEMPLATES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in licenses.TEMPLATES)
-_SHARE = 1.0 / 16384
+_TEMPLATES = ", ".join("('{}', '{}', '{}')".format(licenses.family(t[0]), *(x.replace("'", "''") for x in t)) for t in licenses.TEMPLATES)
+_SHARE = 0.1 / 16384
 #: The rules' counts and the hashed n-gram verdict of every document.
 QUALITY_SQL = rf"""
 d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_BLANK}) AS ws FROM documents),
@@ -98,7 +98,7 @@ score AS (SELECT doc_id, sum(w) AS s FROM gram JOIN weight USING (b) GROUP BY 1)
 base AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(line.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words,
-  len(ws) < 20 OR 100 * coalesce(again.n, 0) > 30 * len(ws) AS base_failed, coalesce(s, 0) >= -65000 * greatest(2 * len(ws) - 1, 0) AS good
+  len(ws) < 20 OR 100 * coalesce(again.n, 0) > 30 * len(ws) AS base_failed, coalesce(s, 0) >= -40000 * greatest(2 * len(ws) - 1, 0) AS good
   FROM d LEFT JOIN line USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN score USING (doc_id)),
 judged AS (SELECT * EXCLUDE (good), NOT base_failed AND good AS kept FROM base)"""
 
@@ -182,15 +182,16 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS
   sha256(unhex(coalesce(s, ''))) AS kept_sha256
 FROM d LEFT JOIN span USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op9_license_scan": rf"""
-WITH t(name, text) AS (VALUES {_TEMPLATES}),
-tw AS (SELECT row_number() OVER () AS t, name, regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), {_ALNUM}) AS ws FROM t),
-ts AS (SELECT DISTINCT t, name, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT t, name, ws, unnest(range(1, len(ws) - 3)) AS i FROM tw)),
+WITH t(fam, name, text) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT row_number() OVER () AS t, fam, name, regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), {_ALNUM}) AS ws FROM t),
+ts AS (SELECT DISTINCT t, fam, name, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT t, fam, name, ws, unnest(range(1, len(ws) - 3)) AS i FROM tw)),
 tm AS (SELECT t, count(*) AS m, greatest(8, CAST(pow(2, ceil(log2(2 * count(*)))) AS BIGINT)) AS w FROM ts GROUP BY 1),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), {_ALNUM}) AS ws FROM documents),
 ds AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 5], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 4)) AS i FROM d)),
-hit AS (SELECT doc_id, i, t, name, g, m, w FROM ds JOIN ts USING (g) JOIN tm USING (t)),
-win AS (SELECT doc_id, name, t, a, m, count(DISTINCT g) AS n FROM (SELECT *, unnest(range(greatest(0, (i - w) // 4 * 4), i + 1, 4)) AS a FROM hit) WHERE a <= i AND i < a + w GROUP BY ALL),
-found AS (SELECT DISTINCT doc_id, name FROM win WHERE 100 * n >= 80 * m),
+hit AS (SELECT doc_id, i, t, fam, name, g, m, w FROM ds JOIN ts USING (g) JOIN tm USING (t)),
+win AS (SELECT doc_id, fam, name, t, a, m, w, count(DISTINCT g) AS n FROM (SELECT *, unnest(range(greatest(0, (i - w) // 4 * 4), i + 1, 4)) AS a FROM hit) WHERE a <= i AND i < a + w GROUP BY ALL),
+full_ AS (SELECT * FROM win WHERE 100 * n >= 80 * m),
+found AS (SELECT DISTINCT doc_id, name FROM full_ x WHERE NOT EXISTS (SELECT 1 FROM full_ y WHERE y.doc_id = x.doc_id AND y.fam = x.fam AND y.name <> x.name AND y.n * x.m > x.n * y.m AND y.a < x.a + x.w AND x.a < y.a + y.w)),
 own AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS s FROM found GROUP BY 1)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(s, '') AS licenses FROM d LEFT JOIN own USING (doc_id)""",
     "op10_quality_rules": f"WITH {QUALITY_SQL} SELECT * FROM judged",

@@ -654,6 +654,34 @@ def test_licenses(spark):
     assert got == {1: ["Apache-2.0"], 2: ["MIT"], 3: [], 4: [], 5: [], 6: ["MIT"], 7: []}
 
 
+def test_licenses_name_the_version_and_one_of_a_family(spark):
+    whole = {}
+    for name, text in licenses.TEMPLATES:
+        whole.setdefault(name, []).append(text)
+    fill = " ".join(f"f{i}" for i in range(300))
+    rows = [(i, f"{fill} {t} {fill}", n) for i, (n, t) in enumerate(licenses.TEMPLATES)]
+    rows += [(900, f"{whole['GPL-2.0'][-1]} {fill} {whole['GPL-3.0'][-1]}", "GPL-2.0,GPL-3.0"), (901, whole["BSD-3-Clause"][0].replace("documentation", "manual"), "BSD-3-Clause"), (None, None, ""), (None, whole["Zlib"][0], "Zlib"), (900, "x", "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, licenses string")
+    got = sorted((str(r.id), ",".join(r.licenses)) for r in licenses.scan(df).collect())
+    assert got == sorted((str(i), n) for i, _, n in rows)
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_many_license_templates_take_a_lookup_each():
+    rng = np.random.default_rng(14)
+    made = [(f"L{k}", " ".join(f"w{x}" for x in rng.integers(0, 5000, 100))) for k in range(600)]
+    text = np.frombuffer((" ".join(f"w{x}" for x in rng.integers(0, 5000, 60_000)) + " " + made[77][1]).encode(), np.uint8)
+    values, _ = licenses.shingles(text, np.array([0, len(text)]), 5)
+    took = []
+    for few in (made[70:90], made):
+        index = licenses.Index(few, 5, licenses.BANDS)
+        began = time.process_time()
+        found = {index.names[t] for _, t in index.candidates(values, np.arange(0, len(values), 4))}
+        took.append(time.process_time() - began)
+        assert "L77" in found
+    assert took[1] < 6 * took[0] + 1
+
+
 def test_licenses_against_all_windows(spark):
     """Retrieval misses nothing that exact containment finds in any window."""
     rng = np.random.default_rng(12)
