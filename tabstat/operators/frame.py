@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabstat.plans.ordered import number
+
 
 def columns_of(df: DataFrame, which: Sequence[int | str] | int | str) -> list[str]:
     """Names of columns given by name or 0-based index. Unknown names raise ValueError, bad indexes IndexError."""
@@ -75,9 +77,9 @@ def dictionary(df: DataFrame, column: str, order_by: Sequence[str]) -> DataFrame
     if isinstance(kind, T.BooleanType):
         return labels.select(F.col(column).alias("label")).distinct().withColumn("code", F.col("label").cast("int"))
     first = labels.groupBy(F.col(column).alias("label")).agg(F.min(F.struct(*order_by)).alias("_first"), F.min(text.isin("true", "false")).alias("_bool"))
-    flags = first.withColumn("_all", F.min("_bool").over(Window.partitionBy()))
-    code = F.row_number().over(Window.orderBy("_first", "label")) - 1
-    return flags.withColumn("code", F.when(F.col("_all"), (F.lower(F.col("label").cast("string")) == "true").cast("int")).otherwise(code)).select("label", "code")
+    if first.agg(F.min("_bool")).first()[0]:
+        return first.select("label", (F.lower(F.col("label").cast("string")) == "true").cast("int").alias("code"))
+    return number(first.select("label", "_first"), ["_first", "label"], "code").select("label", F.col("code").cast("int").alias("code"))
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
@@ -87,7 +89,7 @@ def encode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     return df.join(own, df[column] == own["_label"], "left").select(*(F.col("_code").alias(c) if c == column else df[c] for c in kind))
 
 
-def decode(df: DataFrame, column: str, codes: DataFrame, unknown: str = "NaN - Issue") -> DataFrame:
+def decode(df: DataFrame, column: str, codes: DataFrame, unknown: str = "(no label)") -> DataFrame:
     """df with labels in place of codes; a code without a label becomes ``unknown``, null stays null."""
     own = codes.select(F.col("label").alias("_label"), F.col("code").alias("_code"))
     label = F.when(df[column].isNull(), F.lit(None)).otherwise(F.coalesce(F.col("_label").cast("string"), F.lit(unknown)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabstat.functions.vectors import gower, most_frequent
-from tabstat.plans.ordered import number
+from tabstat.plans.ordered import number, quantiles
 
 METHODS = ("mean", "median", "mode", "forward", "backward")
 #: Positions in one stretch when values are carried over the whole order.
@@ -31,7 +31,7 @@ def impute(df: DataFrame, column: str, method: str = "mean", order_by: Sequence[
         found = most_frequent(df, column).first()
         value = found[0] if found else None
     else:
-        value = df.agg(F.avg(column) if method == "mean" else F.percentile(column, F.lit(0.5))).first()[0]
+        value = df.agg(F.avg(column)).first()[0] if method == "mean" else (quantiles(df, column, [0.5]) or [None])[0]
     return df if value is None else df.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
 
 
@@ -47,7 +47,7 @@ def _carry(df: DataFrame, column: str, order_by: list[str], forward: bool) -> Da
     edge = edge.select("_s", F.last("_v", ignorenulls=True).over(line).alias("_before"))
     inside = Window.partitionBy("_s").orderBy("_t" if forward else F.col("_t").desc()).rowsBetween(Window.unboundedPreceding, 0)
     filled = F.coalesce(F.last(column, ignorenulls=True).over(inside), F.col("_before"))
-    return rows.join(F.broadcast(edge), "_s").withColumn(column, filled).select(*df.columns)
+    return rows.join(edge, "_s").withColumn(column, filled).select(*df.columns)
 
 
 def knn_impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, p: float = 2, categorical: Sequence[str] = (), block: int = 2000) -> DataFrame:

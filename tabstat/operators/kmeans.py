@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabstat.plans.ordered import number
-
 TOLERANCE = 1e-4
 
 
@@ -44,21 +42,81 @@ def update(df: DataFrame, columns: Sequence[str], cluster: str = "cluster") -> D
     return df.groupBy(cluster).agg(F.count("*").alias("n"), F.sum("distance").alias("inertia"), *(F.avg(c).alias(c) for c in columns))
 
 
-def plus_plus(df: DataFrame, columns: Sequence[str], key: str, k: int, seed: int = 0) -> np.ndarray:
-    """k-means++ centres. The draw by squared distance takes the row with the least -ln(u) / d, u being a hash of key and seed: one aggregation a centre."""
-    columns, centres = list(columns), []
-    picked = df.select(F.col(key).alias("_key"), *(F.col(c).cast("double").alias(c) for c in columns))
-    for step in range(k):
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), F.col("_key")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        gap = F.least(*(_distance(columns, c) for c in centres)) if len(centres) > 1 else _distance(columns, centres[0]) if centres else F.lit(1.0)
-        chance = F.when(gap > 0, -F.log(u) / gap)
-        row = picked.select(chance.alias("_d"), F.struct("_key", *columns).alias("_row")).where("_d IS NOT NULL").agg(F.min_by("_row", F.struct("_d", "_row._key")).alias("r")).first().r
-        if row is None:
-            break
-        centres.append([row[c] for c in columns])
-    if not centres:
+def _uniform(h: np.ndarray, seed: int, step: int) -> np.ndarray:
+    """A number in (0, 1) for each 64-bit hash, by seed and step."""
+    z = h.view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + (step + 1) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF)
+    for _ in range(2):
+        z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return ((z >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
+
+
+def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and centres."""
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+
+
+def _points(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """Rows without nulls, as _h (hash of the key) and x0, x1, ..."""
+    return df.dropna(subset=list(columns)).select(F.xxhash64(F.col(key)).alias("_h"), *(F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(columns)))
+
+
+def plus_plus_many(points: DataFrame, starts: Sequence[tuple[int, int]]) -> list[np.ndarray]:
+    """k-means++ centres for each (k, seed), drawn side by side: one pass over the points for each centre.
+
+    The draw by squared distance takes the row with the least -ln(u) / d, u being a
+    number from seed, step and the hash of the row's key.
+    """
+    names, centres = points.columns[1:], [[] for _ in starts]
+    for step in range(max(k for k, _ in starts)):
+        live = [i for i, (k, _) in enumerate(starts) if step < k and len(centres[i]) == step]
+
+        def draw(batches, step=step, live=live):
+            best: dict[int, tuple] = {}
+            for b in batches:
+                x, h = b[names].to_numpy(float), b["_h"].to_numpy()
+                for i in live if len(x) else ():
+                    gap = _gaps(x, centres[i]).min(axis=1) if step else np.ones(len(x))
+                    at = np.flatnonzero(gap > 0)
+                    if len(at):
+                        v = -np.log(_uniform(h[at], starts[i][1], step)) / gap[at]
+                        j = np.lexsort((h[at], v))[0]
+                        best[i] = min(best.get(i, (np.inf,)), (v[j], h[at[j]], x[at[j]].tolist()))
+            yield pd.DataFrame([(i, v, h, row) for i, (v, h, row) in best.items()], columns=["i", "v", "h", "x"])
+
+        found = points.mapInPandas(draw, "i int, v double, h bigint, x array<double>").groupBy("i").agg(F.min_by("x", F.struct("v", "h")).alias("x"))
+        for r in found.collect():
+            centres[r.i].append(r.x)
+    if not all(centres):
         raise ValueError("no rows")
-    return np.array(centres)
+    return [np.array(c) for c in centres]
+
+
+def plus_plus(df: DataFrame, columns: Sequence[str], key: str, k: int, seed: int = 0) -> np.ndarray:
+    """k-means++ centres; fewer where there are fewer different rows."""
+    return plus_plus_many(_points(df, columns, key), [(k, seed)])[0]
+
+
+def _sums(points: DataFrame, centres: dict[int, np.ndarray], keep=None) -> list:
+    """(i, c, n, inertia, s0, s1, ...) of the clusters of each start i: one pass. keep(i, h) marks the rows that count."""
+    names = points.columns[1:]
+
+    def add(batches):
+        held = {i: np.zeros((len(c), len(names) + 2)) for i, c in centres.items()}
+        for b in batches:
+            x, h = b[names].to_numpy(float), b["_h"].to_numpy()
+            for i, c in centres.items() if len(x) else ():
+                own = x if keep is None else x[keep(i, h)]
+                if len(own):
+                    gap = _gaps(own, c)
+                    near = gap.argmin(axis=1)
+                    for j in np.unique(near):
+                        mine = near == j
+                        held[i][j] += [mine.sum(), gap[mine, j].sum(), *own[mine].sum(axis=0)]
+        rows = [(i, j, *r) for i, t in held.items() for j, r in enumerate(t.tolist()) if r[0]]
+        yield pd.DataFrame(rows, columns=["i", "c", "n", "inertia", *(f"s{j}" for j in range(len(names)))])
+
+    kinds = "i int, c int, n double, inertia double, " + ", ".join(f"s{j} double" for j in range(len(names)))
+    return points.mapInPandas(add, kinds).groupBy("i", "c").agg(F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), *(F.sum(f"s{j}").alias(f"s{j}") for j in range(len(names)))).collect()
 
 
 class KMeans:
@@ -76,57 +134,66 @@ class KMeans:
         self.columns = list(columns)
         if self.k is None:
             self.k = self.select_k(df, columns, key)
-        best = None
-        for start in range(self.n_init):
-            found = self._run(df, key, self.k, self.seed + start)
-            if best is None or found[1] < best[1]:
-                best = found
-        self.centres, self.inertia = best
+        found = self._run(df, key, [(self.k, self.seed + start) for start in range(self.n_init)])
+        self.centres, self.inertia = min(found, key=lambda x: x[1])
         return self
 
-    def _run(self, df: DataFrame, key: str, k: int, seed: int) -> tuple[np.ndarray, float]:
-        centres = plus_plus(df, self.columns, key, k, seed)
+    def _run(self, df: DataFrame, key: str, starts: list[tuple[int, int]]) -> list[tuple[np.ndarray, float]]:
+        """(centres, inertia) of each (k, seed). All starts move side by side: one pass a step, until each has come to rest."""
+        points = _points(df, self.columns, key)
+        centres = dict(enumerate(plus_plus_many(points, starts)))
         if self.method == "online":
-            centres = self._online(df, key, centres, seed)
+            centres = {i: self._online(points, c, starts[i][1]) for i, c in centres.items()}
         else:
-            n = df.count() if self.method == "minibatch" else 0
+            n = points.count() if self.method == "minibatch" else 0
+            share = (self.batch_size or max(1, int(n**0.5))) / max(1, n)
+            live, seen = dict(centres), {i: np.zeros(len(c)) for i, c in centres.items()}
             for step in range(self.max_iter):
-                rows = df
-                if self.method == "minibatch":
-                    share = (self.batch_size or max(1, int(n**0.5))) / max(1, n)
-                    rows = df.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(step), F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-                moved = centres.copy()
-                for r in update(assign(rows, self.columns, centres), self.columns).collect():
-                    moved[r.cluster] = [r[c] for c in self.columns]
-                shift = ((moved - centres) ** 2).sum(axis=1).max()
-                centres = moved
-                if shift <= TOLERANCE and step >= 1:
+                chosen = None if self.method == "batch" else (lambda i, h, step=step: _uniform(h, starts[i][1], 1_000_000 + step) < share)
+                moved = {i: c.copy() for i, c in live.items()}
+                for r in _sums(points, live, chosen):
+                    # A mini-batch moves a centre by its share of all rows that the centre has seen.
+                    seen[r.i][r.c] = r.n + (seen[r.i][r.c] if self.method == "minibatch" else 0)
+                    moved[r.i][r.c] += (np.array(r[4:]) / r.n - moved[r.i][r.c]) * r.n / seen[r.i][r.c]
+                centres |= moved
+                live = {i: c for i, c in moved.items() if step < 1 or ((c - live[i]) ** 2).sum(axis=1).max() > TOLERANCE}
+                if not live:
                     break
-        inertia = assign(df, self.columns, centres).agg(F.sum("distance")).first()[0] or 0.0
-        return centres, float(inertia)
+        inertia = dict.fromkeys(centres, 0.0)
+        for r in _sums(points, centres):
+            inertia[r.i] += r.inertia
+        return [(centres[i], float(inertia[i])) for i in range(len(starts))]
+
+    def _online(self, points: DataFrame, start: np.ndarray, seed: int) -> np.ndarray:
+        """One-point running means in random orders, epoch after epoch, until no centre moves more than TOLERANCE in one.
 
-    def _online(self, df: DataFrame, key: str, centres: np.ndarray, seed: int) -> np.ndarray:
-        """One-point running means in a random order. Each task runs its own rows and results are averaged by count, as one sequence over all rows can't be distributed."""
-        columns, start = self.columns, centres.copy()
+        A sequence over all rows can't be distributed: a task holds about a million
+        rows and runs its own sequence to its end; the tasks' centres are averaged by
+        the rows that they saw. Below a million rows there is one sequence, as in the textbook.
+        """
+        names, most = points.columns[1:], self.max_iter
 
         def run(batches):
+            own = [b for b in batches if len(b)]
+            rows = pd.concat(own).sort_values("_h")[names].to_numpy(float) if own else np.empty((0, start.shape[1]))
             at, seen = start.copy(), np.zeros(len(start))
-            for b in batches:
-                for x in b[columns].to_numpy(float):
-                    c = int(((at - x) ** 2).sum(axis=1).argmin())
+            for epoch in range(most if len(rows) else 0):
+                before = at.copy()
+                for x in rows[np.random.default_rng((seed, epoch)).permutation(len(rows))]:
+                    c = ((at - x) ** 2).sum(axis=1).argmin()
                     seen[c] += 1
                     at[c] += (x - at[c]) / seen[c]
+                if np.sqrt(((at - before) ** 2).sum(axis=1)).max() <= TOLERANCE:
+                    break
             yield pd.DataFrame({"c": np.arange(len(at)), "n": seen, **{f"x{j}": at[:, j] for j in range(at.shape[1])}})
 
-        for epoch in range(2):
-            # A task holds about a million rows; below that there is one sequence, as in the textbook.
-            parts = max(1, df.count() >> 20)
-            rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns), F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)).alias("_u")).repartition(parts, "_u").sortWithinPartitions("_u").drop("_u")
-            schema = "c int, n double, " + ", ".join(f"x{j} double" for j in range(start.shape[1]))
-            out = rows.mapInPandas(run, schema).groupBy("c").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(f"x{j}")).alias(f"x{j}") for j in range(start.shape[1])))
-            for r in out.where("n > 0").collect():
-                start[r.c] = [r[f"x{j}"] / r.n for j in range(start.shape[1])]
-        return start
+        rows = points.repartition(max(1, points.count() >> 20), "_h")
+        schema = "c int, n double, " + ", ".join(f"x{j} double" for j in range(start.shape[1]))
+        out = rows.mapInPandas(run, schema).groupBy("c").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(f"x{j}")).alias(f"x{j}") for j in range(start.shape[1])))
+        end = start.copy()
+        for r in out.where("n > 0").collect():
+            end[r.c] = [r[f"x{j}"] / r.n for j in range(start.shape[1])]
+        return end
 
     def predict(self, df: DataFrame, name: str = "cluster") -> DataFrame:
         if not hasattr(self, "centres"):
@@ -142,6 +209,7 @@ class KMeans:
         low, high = self.bounds
         if high - low < 2:
             raise ValueError("bounds must hold three values of k")
-        self.elbow = {k: self._run(df, key, k, self.seed)[1] for k in range(low, high + 1)}
+        found = self._run(df, key, [(k, self.seed) for k in range(low, high + 1)])
+        self.elbow = {k: inertia for k, (_, inertia) in zip(range(low, high + 1), found, strict=True)}
         bend = {k: self.elbow[k - 1] - 2 * self.elbow[k] + self.elbow[k + 1] for k in range(low + 1, high)}
         return max(bend, key=lambda k: (bend[k], -k))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabstat.functions import transforms
+from tabstat.plans.ordered import quantiles
 
 METHODS = ("standard", "mean", "minmax", "robust")
 
@@ -21,7 +22,7 @@ def scale(df: DataFrame, column: str, method: str = "standard", low: float = 0.0
         raise ValueError(f"unknown method {method!r}")
     c = F.col(column).cast("double")
     if method == "robust":
-        q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+        q = quantiles(df, column, (0.25, 0.5, 0.75))
         centre, width = (q[1], q[2] - q[0]) if q else (None, None)
     else:
         r = df.agg(F.avg(c).alias("m"), F.stddev_samp(c).alias("s"), F.min(c).alias("a"), F.max(c).alias("b")).first()

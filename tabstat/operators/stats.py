@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabstat.functions.transforms import clipped
-from tabstat.plans.ordered import lagged, number
+from tabstat.plans.ordered import lagged, number, quantiles
 
 
 def mean(c: str) -> Column:
@@ -68,8 +68,8 @@ def with_residuals(df: DataFrame, y: str, p: str, name: str = "residual") -> Dat
 
 def residual_summary(df: DataFrame, c: str) -> DataFrame:
     """mean, sd, max_abs and exact quartiles (linear interpolation)."""
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.max(F.abs(c)).alias("max_abs"), q.alias("q")).select("mean", "sd", "max_abs", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
+    q = quantiles(df, c, (0.25, 0.5, 0.75)) or [None] * 3
+    return df.agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.max(F.abs(c)).alias("max_abs"), *(F.lit(v).cast("double").alias(f"q{i + 1}") for i, v in enumerate(q)))
 
 
 def durbin_watson(df: DataFrame, c: str, order_by: Sequence[str]) -> DataFrame:

@@ -139,10 +139,10 @@ def _(t):
     return frame.drop_columns(frame.drop_rows(t.nation, "n_regionkey", [1, 3]), "n_name")
 
 
-@query("D16_one_hot", """SELECT event_id, CAST(event_type = 'click' AS INT)::DOUBLE AS click, CAST(event_type = 'view' AS INT)::DOUBLE AS view FROM events""")
+@query("D16_one_hot", "SELECT event_id, list_transform((SELECT list(DISTINCT event_type ORDER BY event_type) FROM events), lambda c: c || '=' || CASE WHEN c = event_type THEN '1' ELSE '0' END).list_aggregate('string_agg', ',') AS hot FROM events")
 def _(t):
     hot = frame.one_hot(t.events.select("event_id", "event_type"), "event_type")
-    return hot.select("event_id", "click", "view")
+    return hot.select("event_id", F.concat_ws(",", *(F.concat(F.lit(f"{c}="), F.col(c).cast("int").cast("string")) for c in sorted(x for x in hot.columns if x != "event_id"))).alias("hot"))
 
 
 @query("D18_row_vector", "SELECT ps AS p_partkey, a AS total FROM (SELECT p_partkey AS ps, round(p_size + p_retailprice, 6) AS a FROM part)")
@@ -170,9 +170,9 @@ def _(t):
     return rounded(linalg.add(entries(t), entries(t)))
 
 
-@query("L01_subtract", f"WITH {ENTRIES} SELECT i, j, 0.0::DOUBLE AS v FROM m")
+@query("L01_subtract", f"WITH {ENTRIES} SELECT i, j, round(v - 3 * v * v, 6) AS v FROM m")
 def _(t):
-    return rounded(linalg.subtract(entries(t), entries(t)))
+    return rounded(linalg.subtract(entries(t), entries(t).withColumn("v", 3 * F.col("v") * F.col("v"))))
 
 
 @query("L02_multiply", f"WITH {ENTRIES} SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 4) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY 1, 2")
@@ -207,10 +207,11 @@ def _(t):
     return linalg.triangular(entries(t))
 
 
-@query("L07_lu")
+@query("L07_lu", f"""WITH {SMALL} SELECT i, j, round(v, 6) AS v FROM (SELECT 0::BIGINT AS i, 0::BIGINT AS j, d / (a * d - b * b) AS v FROM s
+UNION ALL SELECT 0, 1, -b / (a * d - b * b) FROM s UNION ALL SELECT 1, 0, -b / (a * d - b * b) FROM s UNION ALL SELECT 1, 1, a / (a * d - b * b) FROM s)""")
 def _(t):
     packed, order, swaps = linalg.lu(linalg.to_array(_small(t), 2))
-    return linalg.from_array(t.spark, linalg.solve_lu(packed, order, np.eye(2)))
+    return rounded(linalg.from_array(t.spark, linalg.solve_lu(packed, order, np.eye(2))))
 
 
 # Vectors
@@ -231,7 +232,7 @@ def _vector(name, expression, sql):
 
 
 _vector("U01_dot", vectors.dot, "list_dot_product(x, y)")
-_vector("U02_scaled", lambda x, y: vectors.scaled(x, 2.5)[3], "2.5 * x[4]")
+_vector("U02_scaled", lambda x, y: vectors.norm(vectors.subtract(vectors.scaled(x, 2.5), y), 1), "list_sum([abs(2.5 * x[i] - y[i]) for i in range(1, 65)])")
 _vector("U03_add_subtract", lambda x, y: vectors.norm(vectors.add(x, y), 1) + vectors.norm(vectors.subtract(x, y), 1), "list_sum([abs(x[i] + y[i]) + abs(x[i] - y[i]) for i in range(1, 65)])")
 _vector("U04_norm", lambda x, y: vectors.norm(x, 3, 1), "pow(list_sum([pow(abs(v), 3) for v in x]), 1.0 / 3)")
 _vector("U05_distance", lambda x, y: vectors.distance(x, y), "sqrt(list_sum([pow(x[i] - y[i], 2) for i in range(1, 65)]))")
@@ -248,7 +249,7 @@ def _(t):
 
 @query("U08_range_except", "SELECT n_nationkey, CAST(n_nationkey AS BIGINT) AS size FROM nation")
 def _(t):
-    return t.nation.select("n_nationkey", F.size(F.filter(F.sequence(F.lit(0), F.col("n_nationkey")), lambda x: x != F.col("n_nationkey"))).cast("bigint").alias("size"))
+    return t.nation.select("n_nationkey", F.size(vectors.range_except(F.col("n_nationkey"), F.col("n_nationkey"))).cast("bigint").alias("size"))
 
 
 @query("U09_mode", "SELECT l_quantity AS mode FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")
@@ -346,6 +347,28 @@ def _(t):
     return model.statistics(t.spark)
 
 
+FITTED = f"""{OLS2}, e AS (SELECT l_extendedprice AS y, l_extendedprice - my - bq * (l_quantity - mq) - bd * (l_discount - md) AS e FROM lineitem, k),
+s AS (SELECT count(*) AS n, sum(e * e) AS rss, var_pop(y) * count(*) AS tss, avg(abs(e)) AS mae FROM e),
+v AS (SELECT rss / (n - 3) / (n - 1) / (a * d - b * b) AS w, a, b, d FROM s, m)"""
+
+
+def _two(t):
+    return regression.LinearRegression().fit(t.lineitem, ["l_quantity", "l_discount"], "l_extendedprice")
+
+
+@query("R11_coefficients", f"""WITH {FITTED} SELECT name, round(beta, 3) AS beta, round(se, 4) AS stderr, round(beta / se, 4) AS t_stat FROM (SELECT 'l_quantity' AS name, bq AS beta, sqrt(w * d) AS se FROM k, v
+UNION ALL SELECT 'l_discount', bd, sqrt(w * a) FROM k, v UNION ALL SELECT 'intercept', my - bq * mq - bd * md, sqrt(w * (n - 1) * (a * d - b * b) / n + w * (mq * mq * d - 2 * mq * md * b + md * md * a)) FROM k, v, s)""")
+def _(t):
+    return _two(t).coefficients(t.spark).select("name", r("beta", 3).alias("beta"), r("stderr", 4).alias("stderr"), r("t_stat", 4).alias("t_stat"))
+
+
+@query("R11_statistics", f"""WITH {FITTED}, z AS (SELECT *, 1 - rss / tss AS r2 FROM s), c AS (SELECT 1 / (1 - pow(corr(l_quantity, l_discount), 2)) AS vif FROM lineitem)
+SELECT name, round(value, 3) AS value FROM (SELECT 'n' AS name, n::DOUBLE AS value FROM z UNION ALL SELECT 'r2', r2 FROM z UNION ALL SELECT 'r2_adj', 1 - (1 - r2) * (n - 1) / (n - 3) FROM z
+UNION ALL SELECT 'rmse', sqrt(rss / n) FROM z UNION ALL SELECT 'mae', mae FROM z UNION ALL SELECT 'f', r2 / 2 / ((1 - r2) / (n - 3)) FROM z UNION ALL SELECT 'vif_l_quantity', vif FROM c UNION ALL SELECT 'vif_l_discount', vif FROM c)""")
+def _(t):
+    return rounded(_two(t).statistics(t.spark).where(F.col("name").isin("n", "r2", "r2_adj", "rmse", "mae", "f", "vif_l_quantity", "vif_l_discount")), 3)
+
+
 SIMPLE = """f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_quantity) AS m, var_pop(l_quantity) * count(*) AS sxx, count(*) AS n FROM lineitem),
 e AS (SELECT l_suppkey AS g, l_quantity AS x, l_quantity - m AS z, l_extendedprice - a - b * l_quantity AS e, 1.0 / n + (l_quantity - m) * (l_quantity - m) / sxx AS h, sxx, n FROM lineitem, f)"""
 
@@ -442,6 +465,42 @@ def _(t):
     return rounded(one(t.spark, beta=float(regression.ElasticNetRegression(40.0, 0.25).fit_without_stats(t.lineitem, ["l_quantity"], "l_extendedprice").coef[0])), 4)
 
 
+#: Two features that go together, so that a coordinate step moves the other coefficient.
+PAIRED = """r AS (SELECT l_quantity AS x, l_quantity + 5 * l_linenumber AS z, l_extendedprice AS y FROM lineitem),
+m AS (SELECT var_pop(x) AS a, covar_pop(x, z) AS b, var_pop(z) AS d, covar_pop(x, y) AS u, covar_pop(z, y) AS v, count(*) AS n FROM r)"""
+
+
+def _paired(t):
+    return t.lineitem.select(F.col("l_quantity").alias("x"), (F.col("l_quantity") + 5 * F.col("l_linenumber")).alias("z"), F.col("l_extendedprice").alias("y"))
+
+
+def _both(t, model):
+    fit = model.fit_without_stats(_paired(t), ["x", "z"], "y")
+    return rounded(one(t.spark, x=float(fit.coef[0]), z=float(fit.coef[1])), 2)
+
+
+def _descent(alpha: float, share: float) -> str:
+    """SQL of coordinate descent from 0."""
+    soft = lambda c: f"sign({c}) * greatest(abs({c}) - {alpha * share}, 0)"
+    return f"""WITH RECURSIVE {PAIRED}, s(i, x, z) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT i + 1, x, {soft('(v - b * x)')} / (d + {alpha * (1 - share)}) FROM
+(SELECT i, z, {soft('(u - b * z)')} / (a + {alpha * (1 - share)}) AS x FROM s, m WHERE i < 400), m) SELECT round(x, 2) AS x, round(z, 2) AS z FROM s WHERE i = 400"""
+
+
+@query("R20_ridge_two", f"WITH {PAIRED}, p AS (SELECT a * n + 1e5 AS a, b * n AS b, d * n + 1e5 AS d, u * n AS u, v * n AS v FROM m) SELECT round((d * u - b * v) / (a * d - b * b), 2) AS x, round((a * v - b * u) / (a * d - b * b), 2) AS z FROM p")
+def _(t):
+    return _both(t, regression.RidgeRegression(1e5))
+
+
+@query("R30_lasso_two", _descent(50.0, 1.0))
+def _(t):
+    return _both(t, regression.LassoRegression(50.0))
+
+
+@query("R40_elastic_net_two", _descent(40.0, 0.25))
+def _(t):
+    return _both(t, regression.ElasticNetRegression(40.0, 0.25))
+
+
 @query("R22_optimal_lambda")
 def _(t):
     return validate.optimal_lambda(t.lineitem, FEATURES, "l_extendedprice", "l_orderkey", 0.01, 1e6, 9).table(t.spark)
@@ -488,6 +547,29 @@ def _(t):
     return validate.grid_search(regression.ElasticNetRegression(), t.lineitem, FEATURES, "l_extendedprice", "l_orderkey", {"alpha": [1.0, 10.0, 100.0], "l1_ratio": [0.2, 0.8]}).table(t.spark)
 
 
+RIDGED = """g AS (SELECT lam, f AS fold, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + lam) AS b FROM d JOIN (SELECT unnest(range(5)) AS f) ON fold <> f, (SELECT unnest({lams}) AS lam) GROUP BY 1, 2),
+h AS (SELECT lam, fold, avg(pow(y - my - b * (x - mx), 2)) AS score FROM d JOIN g USING (fold) GROUP BY 1, 2)
+SELECT round(lam, 4) AS lam, round(avg(score) / 1e6, 4) AS score FROM h GROUP BY lam"""
+
+
+def _searched(found, t):
+    return found.table(t.spark).select(r(F.col("params")["lam"], 4).alias("lam"), r(F.col("score") / 1e6, 4).alias("score"))
+
+
+def _customers(t):
+    return t.orders.select("o_orderkey", F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").alias("y"))
+
+
+@query("V02_ridge_grid", f"WITH {FOLDED}, " + RIDGED.format(lams="[0.0, 1e8, 1e10]::DOUBLE[]"))
+def _(t):
+    return _searched(validate.grid_search(regression.RidgeRegression(), _customers(t), ["x"], "y", "o_orderkey", {"lam": [0.0, 1e8, 1e10]}), t)
+
+
+@query("R22_lambda_path", f"WITH {FOLDED}, " + RIDGED.format(lams="[1e6, 1e8, 1e10]::DOUBLE[]"))
+def _(t):
+    return _searched(validate.optimal_lambda(_customers(t), ["x"], "y", "o_orderkey", 1e6, 1e10, 3), t)
+
+
 @query("V03_random_search")
 def _(t):
     return validate.random_search(regression.RidgeRegression(), t.lineitem, FEATURES, "l_extendedprice", "l_orderkey", {"lam": (0.1, 1e5, "log")}, n_iter=20).table(t.spark)
@@ -581,6 +663,21 @@ def _(t):
     return rounded(pca.PCA(2).fit_transform(t.lineitem.select("l_orderkey", "l_linenumber", *FEATURES), FEATURES), 4)
 
 
+EIGEN = f"{PAIRED}, w AS (SELECT *, (a + d) / 2 + sqrt(pow((a - d) / 2, 2) + b * b) AS l1, (a + d) / 2 - sqrt(pow((a - d) / 2, 2) + b * b) AS l2 FROM m)"
+
+
+@query("P19_pca_two", f"WITH {EIGEN} SELECT 1 AS component, round(l1, 4) AS eigenvalue, round(l1 / (a + d), 4) AS ratio FROM w UNION ALL SELECT 2, round(l2, 4), round(l2 / (a + d), 4) FROM w")
+def _(t):
+    return rounded(pca.PCA(2).fit(_paired(t), ["x", "z"]).summary(t.spark), 4)
+
+
+@query("P20_pca_two", f"""WITH {EIGEN}, c AS (SELECT b / sqrt(b * b + pow(l1 - a, 2)) AS p, (l1 - a) / sqrt(b * b + pow(l1 - a, 2)) AS q FROM w), k AS (SELECT p * sign(CASE WHEN abs(p) > abs(q) THEN p ELSE q END) AS p,
+q * sign(CASE WHEN abs(p) > abs(q) THEN p ELSE q END) AS q FROM c) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(p * (l_quantity - (SELECT avg(x) FROM r)) + q * (l_quantity + 5 * l_linenumber - (SELECT avg(z) FROM r)), 4) AS pc1 FROM lineitem, k""")
+def _(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("x"), (F.col("l_quantity") + 5 * F.col("l_linenumber")).alias("z"))
+    return pca.PCA(1).fit_transform(rows, ["x", "z"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r("pc1", 4).alias("pc1"))
+
+
 # Clusters
 
 CENTRES = [(10.0, 0.02), (25.0, 0.05), (40.0, 0.08)]
@@ -598,8 +695,11 @@ def _(t):
     return step.select("cluster", "n", r("inertia", 3).alias("inertia"), r("l_quantity").alias("l_quantity"), r("l_discount").alias("l_discount"))
 
 
+DIMENSIONS = [f"x{i}" for i in range(64)]
+
+
 def _points(t):
-    return t.embeddings.select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)))
+    return t.embeddings.select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(DIMENSIONS)))
 
 
 def _centres(t, model):
@@ -610,18 +710,18 @@ def _kmeans(name, **how):
     @query(name)
     def _(t):
         points = write_table(_points(t))
-        return _centres(t, kmeans.KMeans(**how).fit(points, ["x0", "x1", "x2", "x3"], "vec_id"))
+        return _centres(t, kmeans.KMeans(**how).fit(points, DIMENSIONS, "vec_id"))
 
 
-_kmeans("K01_kmeans", k=3, n_init=2, max_iter=10)
-_kmeans("K04_minibatch", k=3, n_init=1, max_iter=5, method="minibatch")
+_kmeans("K01_kmeans", k=3)
+_kmeans("K04_minibatch", k=3, method="minibatch")
 _kmeans("K05_online", k=3, n_init=1, method="online")
 
 
 @query("K02_plus_plus")
 def _(t):
-    found = kmeans.plus_plus(_points(t), ["x0", "x1", "x2", "x3"], "vec_id", 3)
-    return t.spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(found)], "cluster int, x0 double, x1 double, x2 double, x3 double")
+    found = kmeans.plus_plus(_points(t), DIMENSIONS, "vec_id", 3)
+    return t.spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(found)], "cluster int, " + ", ".join(f"{c} double" for c in DIMENSIONS))
 
 
 @query("K05_stream_update")
@@ -633,8 +733,8 @@ def _(t):
 
 @query("K07_elbow")
 def _(t):
-    model = kmeans.KMeans(n_init=1, max_iter=4, bounds=(2, 5))
-    k = model.select_k(write_table(_points(t)), ["x0", "x1", "x2", "x3"], "vec_id")
+    model = kmeans.KMeans()
+    k = model.select_k(write_table(_points(t)), DIMENSIONS, "vec_id")
     return t.spark.createDataFrame([(n, float(i), n == k) for n, i in model.elbow.items()], "k int, inertia double, chosen boolean")
 
 
@@ -691,4 +791,4 @@ def _(t):
 
 @query("T02_sarima")
 def _(t):
-    return one(t.spark, **{k: int(v) for k, v in timeseries.detect_sarima(hourly(t)).items() if k not in ("P", "D", "Q")})
+    return one(t.spark, **{k: int(v) for k, v in ((f"seasonal_{k.lower()}" if k in "PDQ" else k, v) for k, v in timeseries.detect_sarima(hourly(t)).items())})

@@ -1,4 +1,4 @@
-"""Tables from files. Strings stay strings; numbers become doubles on request; NaN becomes null."""
+"""Tables from files. Strings stay strings; NaN becomes null in CSV, and in Parquet on request."""
 
 from __future__ import annotations
 
@@ -24,8 +24,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True
     return nan_to_null(df)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return nan_to_null(spark.read.parquet(path))
+def read_parquet(spark: SparkSession, path: str, nan_is_null: bool = False) -> DataFrame:
+    """A Parquet table. nan_is_null makes NaN null, at the price of filters on doubles: they no longer reach the files."""
+    df = spark.read.parquet(path)
+    return nan_to_null(df) if nan_is_null else df
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:

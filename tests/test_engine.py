@@ -370,3 +370,45 @@ def test_quality_measures(spark):
     assert spark.createDataFrame([(1.0,)], "x double").agg(stats.variance("x")).first()[0] is None
     lm, p = inference.breusch_pagan(spark.range(50).select(F.col("id").cast("double").alias("x"), (F.col("id") % 3 - 1.0).alias("e")), ["x"], "e")
     assert lm >= 0 and 0 <= p <= 1
+
+
+def test_exact_quantiles_with_ties_and_nulls(spark):
+    from tabstat.plans.ordered import quantiles
+
+    values = [5.0, 1.0, 1.0, None, 9.0, 2.5, 2.5, 2.5, -4.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    own = [v for v in values if v is not None]
+    assert quantiles(df, "v", [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]) == pytest.approx(np.quantile(own, [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]).tolist())
+    assert quantiles(df.where("v > 8"), "v", [0.5]) == [9.0] and quantiles(df.where("v > 10"), "v", [0.5]) is None
+
+
+def test_online_centres_survive_a_restart(spark, tmp_path):
+    from tabstat.streaming.online_kmeans import OnlineKMeans
+
+    rng = np.random.default_rng(3)
+    batches = [spark.createDataFrame([(float(x),) for x in rng.normal(c, 0.1, 20)], "x double") for c in (0, 5, 0)]
+    whole, first = (OnlineKMeans(np.array([[1.0], [4.0]]), ["x"], str(tmp_path / name)) for name in "ab")
+    for e, b in enumerate(batches):
+        whole.update(b, e)
+    first.update(batches[0], 0)
+    first.update(batches[1], 1)
+    again = OnlineKMeans(np.array([[1.0], [4.0]]), ["x"], str(tmp_path / "b"))
+    again.update(batches[1], 1)
+    again.update(batches[2], 2)
+    assert again.centres == pytest.approx(whole.centres) and again.seen.tolist() == whole.seen.tolist() == [40, 20]
+
+
+def test_starts_move_side_by_side(spark):
+    from tabstat.operators import kmeans
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.2, (40, 5)) for c in (0, 3, 6)])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double, d double, e double").repartition(4)
+    model = kmeans.KMeans(k=3, n_init=4).fit(df, list("abcde"), "id")
+    alone = [kmeans.KMeans(k=3, n_init=1, seed=s).fit(df, list("abcde"), "id").inertia for s in range(4)]
+    assert model.inertia == pytest.approx(min(alone))
+    want = sum(((x[i : i + 40] - x[i : i + 40].mean(axis=0)) ** 2).sum() for i in (0, 40, 80))
+    assert model.inertia == pytest.approx(want)
+    small = kmeans.KMeans(k=3, n_init=2, method="minibatch", batch_size=40).fit(df, list("abcde"), "id")
+    assert small.inertia < 1.5 * want
+    assert kmeans.KMeans(bounds=(2, 5)).select_k(df, list("abcde"), "id") == 3
