@@ -8,15 +8,18 @@ of stored members by range.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,7 +204,12 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     first = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("c")).where("c > 1").select("digest", "keeper")
     first = S.write_table(first)
     # Digests that several pages share: broadcast while they are few, joined with their pages beyond that.
-    rows = rows.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first, "digest", "left").select("id", "url", "html", F.when(F.col("keeper") != F.col("id"), F.col("keeper")).alias("refers_to"))
+    if first.count() <= BROADCAST_DIGESTS:
+        rows = rows.join(F.broadcast(first), "digest", "left")
+    else:
+        # Pages without a digest have nothing to look up: joined, they would all meet at null.
+        rows = rows.where("digest IS NOT NULL").join(first, "digest", "left").unionByName(rows.where("digest IS NULL").withColumn("keeper", F.lit(None).cast("bigint")))
+    rows = rows.select("id", "url", "html", F.when(F.col("keeper") != F.col("id"), F.col("keeper")).alias("refers_to"))
 
     def write(batches):
         package = _Package()
@@ -218,11 +226,57 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return rows.mapInArrow(S.lean(write), "content binary")
 
 
+def hex_digest(declared: str) -> str:
+    """The SHA-1 of a WARC-Payload-Digest header in lower-case hex; archives write it in base32 or hex."""
+    plain = declared.partition(":")[2] or declared
+    return base64.b32decode(plain.upper()).hex() if len(plain) == 32 else plain.lower()
+
+
+def _page_id(name: str) -> int | None:
+    """The id in <urn:page:...>; null in archives of other writers."""
+    m = re.fullmatch(r"<urn:page:(-?\d+)>", name.strip())
+    return int(m[1]) if m else None
+
+
+_RECORDS = "id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
+
+
+def _records(package: PackageReader) -> Iterator[pa.RecordBatch]:
+    """The records that the package's index lists (all that its archives hold, if it has none), some MB at a time."""
+    names = [x.split()[0] for x in _RECORDS.split(", ")]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+    indexed = any(name.endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")) for name in package.members)
+    found = (package.record(line) for line in package.index()) if indexed else package.scan()
+    out, size = [], 0
+    close = lambda: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+    for headers, block in found:
+        kind = headers["warc-type"]
+        if kind not in ("response", "revisit"):
+            continue
+        http, _, payload = block.partition(b"\r\n\r\n")
+        declared = next((int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+        digest = hex_digest(headers["warc-payload-digest"]) if "warc-payload-digest" in headers else None
+        if kind == "response":
+            own = hashlib.sha1(payload).hexdigest()
+            if declared not in (None, len(payload)) or digest not in (None, own):
+                raise ValueError(f"damaged record {headers.get('warc-record-id')}")
+            digest, declared = own, len(payload)
+        out.append((_page_id(headers.get("warc-record-id", "")), headers.get("warc-target-uri"), kind, declared, digest, _page_id(headers.get("warc-refers-to", "")), payload if kind == "response" else None))
+        size += len(payload)
+        if size >= PACKAGE_BYTES:
+            yield close()
+            out, size = [], 0
+    if out:
+        yield close()
+
+
 def read_packages(packages: DataFrame, content_col: str = "content") -> DataFrame:
     """Records of every package: ``id``, ``url``, ``record_type``, ``payload_bytes``, ``payload_digest``, ``refers_to``, ``payload`` (null in revisits).
 
     Each record is found by its index line and read by range. The digest of a
-    response is worked out from its payload and must be the one that it declares.
+    response is worked out from its payload and must be the one that it declares;
+    a revisit has what its headers say, or null. Ids are null in archives of other
+    writers. Null and empty packages have no records.
     """
 
     def read(batches):
@@ -230,21 +284,27 @@ def read_packages(packages: DataFrame, content_col: str = "content") -> DataFram
             for content in batch.column(0):
                 data = content.as_buffer()
                 view = memoryview(data) if data is not None else memoryview(b"")
-                if not len(view):
+                if len(view):
+                    yield from _records(PackageReader(lambda at, n, view=view: bytes(view[at : at + n]), len(view)))
+
+    return packages.select(content_col).mapInArrow(S.lean(read), _RECORDS)
+
+
+def read_stored(paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """Records (as of read_packages) of packages in storage, with their ``path``: only ranges of a file are read.
+
+    A path is a URI of a store that pyarrow reads (file, s3, gs, hdfs, ...), or an
+    absolute path on a disk that all executors share. Null paths give nothing.
+    """
+
+    def read(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                if path is None:
                     continue
-                package = PackageReader(lambda at, n, view=view: bytes(view[at : at + n]), len(view))
-                out = []
-                for line in package.index():
-                    headers, block = package.record(line)
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    size = next(int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                    digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
-                    if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                        raise ValueError(f"damaged record {line['id']}")
-                    other = headers.get("warc-refers-to", "")[len("<urn:page:") : -1]
-                    out.append((int(line["id"]) if line["id"] else None, line["url"], kind, size, digest, int(other) if other else None, payload if kind == "response" else None))
-                names = ("id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload")
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
-
-    return packages.select(content_col).mapInArrow(S.lean(read), "id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary")
+                store, inside = pafs.FileSystem.from_uri(path)
+                with store.open_input_file(inside) as f:
+                    for part in _records(PackageReader(lambda at, n, f=f: f.read_at(n, at), f.size())):
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * part.num_rows, pa.string()), *part.columns], ["path", *part.schema.names])
+
+    return paths.select(path_col).mapInArrow(S.lean(read), f"path string, {_RECORDS}")

@@ -1,5 +1,6 @@
 """Operators against brute force on small tables, with nulls, repeats, ties, empty tables and clashing names."""
 
+import base64
 import gzip
 import hashlib
 import io
@@ -565,6 +566,32 @@ def test_archive_round_trip(spark):
     assert warc.read_packages(warc.write_packages(pages.limit(0))).count() == 0
 
 
+def test_stored_archives_of_another_writer(spark, tmp_path, monkeypatch):
+    """A standard index without ids, base32 digests, no Content-Length, other record types; and more digests than are broadcast."""
+
+    def record(kind, uri, http, payload):
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        block = http + (payload if kind == "response" else b"")
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: {uri}\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+    records = [record("response", "http://x/1", b"HTTP/1.1 200 OK\r\n\r\n", b"one"), record("request", "http://x/1", b"GET / HTTP/1.1\r\n\r\n", b""), record("revisit", "http://x/2", b"HTTP/1.1 200 OK\r\n\r\n", b"one")]
+    lines, at = [], 0
+    for k, r in enumerate(records):
+        lines.append(f'x)/{k} 2024 {{"url": "http://x", "filename": "d.warc.gz", "offset": "{at}", "length": "{len(r)}"}}')
+        at += len(r)
+    for name, members in (("a", [("archive/d.warc.gz", b"".join(records)), ("indexes/index.cdx.gz", gzip.compress("\n".join(lines).encode()))]), ("b", [("archive/d.warc.gz", b"".join(records))])):
+        (tmp_path / f"{name}.wacz").write_bytes(warc.build_package(members))
+    paths = [f"file://{tmp_path}/a.wacz", f"{tmp_path}/b.wacz", None]
+    got = warc.read_stored(spark.createDataFrame([(x,) for x in paths], "path string")).collect()
+    digest = hashlib.sha1(b"one").hexdigest()
+    assert sorted((r.path[-6], r.url, r.record_type, r.payload_bytes, r.payload_digest, r.id) for r in got) == [(n, f"http://x/{k}", t, size, digest, None) for n in "ab" for k, t, size in ((1, "response", 3), (2, "revisit", None))]
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    pages = spark.createDataFrame([(i, "u", ("x" if i % 3 else "y") * 2000 if i % 2 else "short") for i in range(12)], "page_id bigint, url string, html string")
+    back = {r.id: r.refers_to for r in warc.read_packages(warc.write_packages(pages)).collect()}
+    assert back == {i: {1: 11, 0: 9}[min(i % 3, 1)] if i % 2 and i not in (9, 11) else None for i in range(12)}
+
+
 # 1: packing
 
 
