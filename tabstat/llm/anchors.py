@@ -205,9 +205,10 @@ def string_array(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None
 
 
 def gathered(batches: Iterator[pa.RecordBatch], collect: Callable, flush_bytes: int, close: Callable) -> Iterator[pa.RecordBatch]:
-    """Closes what collect(ids, data, offsets) returns (columns, text, widths; or None) every flush_bytes of text and at the end of each batch."""
+    """Closes what collect(ids, data, offsets) returns (columns, text, widths; or None) every flush_bytes of text and at the end."""
+    held, waiting = [], 0
     for batch in batches:
-        ids, held, waiting = S.ids_of(batch), [], 0
+        ids = S.ids_of(batch)
         for low, high, data, offsets in K.text_slices(batch.column(batch.schema.get_field_index("text"))):
             found = collect(ids[low:high], data, offsets)
             if found is not None:
@@ -216,5 +217,5 @@ def gathered(batches: Iterator[pa.RecordBatch], collect: Callable, flush_bytes:
             if held and waiting > flush_bytes:
                 yield close(held)
                 held, waiting = [], 0
-        if held:
-            yield close(held)
+    if held:
+        yield close(held)
