@@ -104,6 +104,16 @@ def with_categories(df: DataFrame, column: str, codes: DataFrame, most: int = 10
     return df.withColumn(column, F.col(column).alias(column, metadata={"categories": {str(r.label): int(r.code) for r in rows}}))
 
 
+def decoded(df: DataFrame, unknown: str = "(no label)") -> DataFrame:
+    """df with labels in place of codes in every column that has its dictionary (with_categories)."""
+    out = df
+    for f in df.schema:
+        if "categories" in f.metadata:
+            codes = df.sparkSession.createDataFrame([(k, v) for k, v in f.metadata["categories"].items()], "label string, code int")
+            out = decode(out, f.name, codes, unknown)
+    return out
+
+
 def clear_categories(df: DataFrame) -> DataFrame:
     """df without column metadata; data stay."""
     return df.select(*(F.col(c).alias(c, metadata={}) for c in df.columns))
@@ -130,5 +140,10 @@ def to_long(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 def display(df: DataFrame, rows: int = 20) -> str:
-    """The first rows as text."""
+    """The first rows as text, codes as they are."""
     return df._show_string(rows, False)
+
+
+def display_decoded(df: DataFrame, rows: int = 20) -> str:
+    """The first rows as text, with labels for codes; only these rows are decoded."""
+    return display(decoded(df.limit(rows)), rows)

@@ -136,8 +136,14 @@ class KMeans:
             self.k = self.select_k(df, columns, key)
         found = self._run(df, key, [(self.k, self.seed + start) for start in range(self.n_init)])
         self.centres, self.inertia = min(found, key=lambda x: x[1])
+        self._rows, self._key = df, key
         return self
 
+    @property
+    def labels(self) -> DataFrame:
+        """(key, cluster) of the rows of fit that have no null."""
+        return self.predict(self._rows.dropna(subset=self.columns)).select(self._key, "cluster")
+
     def _run(self, df: DataFrame, key: str, starts: list[tuple[int, int]]) -> list[tuple[np.ndarray, float]]:
         """(centres, inertia) of each (k, seed). All starts move side by side: one pass a step, until each has come to rest."""
         points = _points(df, self.columns, key)

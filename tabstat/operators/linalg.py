@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Largest order of a matrix that is brought to the driver.
 MOST = 4096
+#: Rows and columns of a block of the product, as a power of two.
+BLOCK_BITS = 7
+#: Block sums that a task holds before it sends them on: 256 KB each.
+HELD = 128
 
 
 def transpose(a: DataFrame) -> DataFrame:
@@ -23,11 +30,48 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     return add(a, b, -1)
 
 
+def _blocks(a: DataFrame, outer: str, inner: str, to: str) -> DataFrame:
+    """Blocks of entries: _k (inner block), _<to> (outer block), and places and values as arrays. Null entries are absent."""
+    low = (1 << BLOCK_BITS) - 1
+    entry = F.struct(F.col(outer).bitwiseAND(low).cast("short").alias("o"), F.col(inner).bitwiseAND(low).cast("short").alias("n"), F.col("v").cast("double").alias("v"))
+    blocks = a.where(F.col("v").isNotNull()).groupBy(F.shiftright(inner, BLOCK_BITS).alias("_k"), F.shiftright(outer, BLOCK_BITS).alias(f"_{to}")).agg(F.collect_list(entry).alias("e"))
+    return blocks.select("_k", f"_{to}", *(F.col("e")[c].alias(f"{to}{c}") for c in "onv"))
+
+
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Matrix product by an equi-join on the inner index."""
-    left = a.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
-    right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-    return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    """Matrix product by blocks that meet on their inner block.
+
+    A task multiplies pairs of blocks, on the rows and columns that they have, and
+    adds what falls on the same place before it is shuffled. Each place of a matrix
+    has one entry at most; null entries are absent, and so are places without products.
+    """
+    size = 1 << BLOCK_BITS
+
+    def sums(batches):
+        held: dict[tuple[int, int], np.ndarray] = {}
+
+        def out():
+            for (p, q), (v, n) in held.items():
+                i, j = np.nonzero(n)
+                yield pd.DataFrame({"i": p * size + i, "j": q * size + j, "v": v[i, j]})
+            held.clear()
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                rows, ri = np.unique(r.io, return_inverse=True)
+                cols, ci = np.unique(r.jo, return_inverse=True)
+                x, y = np.zeros((2, len(rows), size)), np.zeros((2, size, len(cols)))
+                x[0, ri, r.inn], x[1, ri, r.inn] = r.iv, 1
+                y[0, r.jn, ci], y[1, r.jn, ci] = r.jv, 1
+                total = held.setdefault((r.p, r.q), np.zeros((2, size, size)))
+                total[:, rows[:, None], cols] += x @ y
+                if len(held) >= HELD:
+                    yield from out()
+        yield from out()
+
+    left, right = _blocks(a, "i", "j", "i"), _blocks(b, "j", "i", "j")
+    pairs = left.join(right, "_k").select(F.col("_i").alias("p"), F.col("_j").alias("q"), "io", F.col("in").alias("inn"), "iv", "jo", "jn", "jv")
+    return pairs.mapInPandas(sums, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def triangular(a: DataFrame) -> DataFrame:
@@ -73,6 +117,16 @@ def determinant(a: DataFrame, n: int) -> tuple[float, float, float]:
     return float(np.linalg.det(dense)), float(sign), float(log)
 
 
+def factors(a: DataFrame, n: int) -> tuple[float, np.ndarray | None, np.ndarray, int]:
+    """(determinant, packed LU, permutation, swaps). A singular matrix has determinant 0 and no factors."""
+    dense = to_array(a, n)
+    try:
+        packed, order, swaps = lu(dense)
+    except ValueError:
+        return 0.0, None, np.arange(n), 0
+    return float(np.prod(np.diag(packed)) * (-1) ** swaps), packed, order, swaps
+
+
 def lu(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(packed LU, permutation, swaps) with partial pivoting."""
     a, n = np.array(a, float), len(a)
@@ -96,3 +150,47 @@ def solve_lu(packed: np.ndarray, order: np.ndarray, b: np.ndarray) -> np.ndarray
     for i in reversed(range(len(packed))):
         x[i] = (x[i] - packed[i, i + 1 :] @ x[i + 1 :]) / packed[i, i]
     return x
+
+
+@dataclass(frozen=True)
+class Matrix:
+    """Entries with a shape. Operands whose shapes don't fit raise ValueError before any job runs."""
+
+    entries: DataFrame
+    rows: int
+    cols: int
+
+    def _alike(self, other: Matrix) -> None:
+        if (self.rows, self.cols) != (other.rows, other.cols):
+            raise ValueError(f"shapes differ: {self.rows} x {self.cols} and {other.rows} x {other.cols}")
+
+    def _square(self) -> int:
+        if self.rows != self.cols:
+            raise ValueError("matrix isn't square")
+        return self.rows
+
+    def __add__(self, other: Matrix) -> Matrix:
+        self._alike(other)
+        return Matrix(add(self.entries, other.entries), self.rows, self.cols)
+
+    def __sub__(self, other: Matrix) -> Matrix:
+        self._alike(other)
+        return Matrix(subtract(self.entries, other.entries), self.rows, self.cols)
+
+    def __matmul__(self, other: Matrix) -> Matrix:
+        if self.cols != other.rows:
+            raise ValueError(f"{self.cols} columns meet {other.rows} rows")
+        return Matrix(multiply(self.entries, other.entries), self.rows, other.cols)
+
+    __mul__ = __matmul__
+
+    @property
+    def T(self) -> Matrix:
+        return Matrix(transpose(self.entries), self.cols, self.rows)
+
+    def inverse(self) -> Matrix:
+        return Matrix(inverse(self.entries, self._square()), self.rows, self.cols)
+
+    def det(self) -> tuple[float, np.ndarray | None, np.ndarray, int]:
+        """As factors()."""
+        return factors(self.entries, self._square())

@@ -50,25 +50,31 @@ class Model:
         used = [(F.col(c), float(b)) for c, b in zip(self.features, self.coef, strict=True) if b != 0]
         return df.withColumn(name, sum((c * F.lit(b) for c, b in used), F.lit(float(self.intercept))))
 
-    def coefficients(self, spark: SparkSession) -> DataFrame:
-        """(name, beta, stderr, t_stat, p_value, sig); null where a model has no such statistics."""
+    def _tests(self) -> list[tuple]:
+        """(name, beta, stderr, t, p, stars) of each coefficient; None where a model has no such statistics."""
         rows = []
         for i, (name, b) in enumerate(zip(self.names, self.beta, strict=True)):
             se = None if self.stderr is None or math.isnan(self.stderr[i]) else float(self.stderr[i])
             t = b / se if se and self.stats.get("n", 0) > ENOUGH else None
             p = None if t is None else dist.normal_p_value(t)
             rows.append((name, float(b), se, None if t is None else float(t), p, None if p is None else significance(p)))
-        return spark.createDataFrame(rows, "name string, beta double, stderr double, t_stat double, p_value double, sig string")
+        return rows
+
+    def coefficients(self, spark: SparkSession) -> DataFrame:
+        """(name, beta, stderr, t_stat, p_value, sig); null where a model has no such statistics."""
+        return spark.createDataFrame(self._tests(), "name string, beta double, stderr double, t_stat double, p_value double, sig string")
 
     def statistics(self, spark: SparkSession) -> DataFrame:
         """(name, value) of the model's statistics, by name."""
         return spark.createDataFrame([(k, None if v is None else float(v)) for k, v in self.stats.items()], "name string, value double")
 
-    def summary(self) -> str:
-        lines = [f"{type(self).__name__} of {self.target} on {', '.join(self.features)}"]
-        for i, (name, b) in enumerate(zip(self.names, self.beta, strict=True)):
-            se = "" if self.stderr is None else f"{self.stderr[i]:14.6g}"
-            lines.append(f"{name:>24} {b:14.6g} {se}")
+    def summary(self, detailed: bool = True) -> str:
+        """The report as text: coefficients with their tests, then statistics. Without detail, coefficients of 0 are left out."""
+        lines = [f"{self.target} on {', '.join(self.features)}", f"{'':>24} {'beta':>14} {'stderr':>14} {'t':>10} {'p':>10}"]
+        for name, b, se, t, p, stars in self._tests():
+            if detailed or b != 0:
+                cells = (f"{x:{width}.{digits}g}" if x is not None else " " * width for x, width, digits in ((se, 14, 6), (t, 10, 4), (p, 10, 3)))
+                lines.append(f"{name:>24} {b:14.6g} {' '.join(cells)} {stars or ''}".rstrip())
         return "\n".join([*lines, *(f"{k:>24} {v:14.6g}" for k, v in self.stats.items() if v is not None)])
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabstat.functions import vectors
-from tabstat.operators import frame, impute, inference, kmeans, linalg, pca, regression, scale, split, stats, timeseries, validate
+from tabstat.operators import frame, gls, impute, inference, kmeans, linalg, pca, regression, scale, split, stats, timeseries, validate
 from tabstat.plans import dist
 from tabstat.plans.gram import moments, solve
 from tabstat.plans.shared import shared_dir, write_table
@@ -73,6 +73,10 @@ def entries(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").cast("bigint").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
 
 
+def matrix(t: Tables) -> linalg.Matrix:
+    return linalg.Matrix(entries(t), t.embeddings.count(), 64)
+
+
 ENTRIES = "m AS (SELECT vec_id AS i, unnest(range(len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
@@ -114,6 +118,12 @@ def _(t):
     return frame.clear_categories(frame.with_categories(t.events.select("event_id", "event_type"), "event_type", _codes(t)))
 
 
+@query("D05_decoded", "SELECT event_id, event_type FROM events")
+def _(t):
+    codes = _codes(t)
+    return frame.decoded(frame.with_categories(frame.encode(t.events.select("event_id", "event_type"), "event_type", codes), "event_type", codes))
+
+
 @query("D10_cell", "SELECT n_name FROM nation WHERE n_nationkey = 7")
 def _(t):
     return frame.cell(t.nation, "n_nationkey", 7, "n_name")
@@ -167,18 +177,20 @@ def _(t):
 
 @query("L01_add", f"WITH {ENTRIES} SELECT i, j, round(v + v, 6) AS v FROM m")
 def _(t):
-    return rounded(linalg.add(entries(t), entries(t)))
+    a = matrix(t)
+    return rounded((a + a).entries)
 
 
 @query("L01_subtract", f"WITH {ENTRIES} SELECT i, j, round(v - 3 * v * v, 6) AS v FROM m")
 def _(t):
-    return rounded(linalg.subtract(entries(t), entries(t).withColumn("v", 3 * F.col("v") * F.col("v"))))
+    a = matrix(t)
+    return rounded((a - linalg.Matrix(a.entries.withColumn("v", 3 * F.col("v") * F.col("v")), a.rows, a.cols)).entries)
 
 
 @query("L02_multiply", f"WITH {ENTRIES} SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 4) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY 1, 2")
 def _(t):
-    a = entries(t)
-    return rounded(linalg.multiply(linalg.transpose(a), a), 4)
+    a = matrix(t)
+    return rounded((a.T @ a).entries, 4)
 
 
 def _small(t) -> DataFrame:
@@ -202,6 +214,12 @@ def _(t):
     return rounded(one(t.spark, det=det, sign=sign))
 
 
+@query("L05_factors", f"WITH {SMALL} SELECT i, j, round(v, 6) AS v, round(a * d - b * b, 6) AS det FROM (SELECT 0::BIGINT AS i, 0::BIGINT AS j, a AS v, * FROM s UNION ALL SELECT 0, 1, b, * FROM s UNION ALL SELECT 1, 0, b / a, * FROM s UNION ALL SELECT 1, 1, d - b * b / a, * FROM s)")
+def _(t):
+    det, packed, _order, _swaps = linalg.Matrix(_small(t), 2, 2).det()
+    return rounded(linalg.from_array(t.spark, packed).withColumn("det", F.lit(det)))
+
+
 @query("L06_triangular", f"WITH {ENTRIES} SELECT (1 - max(CAST(j > i AND v <> 0 AS INT))) + 2 * (1 - max(CAST(j < i AND v <> 0 AS INT))) AS kind FROM m")
 def _(t):
     return linalg.triangular(entries(t))
@@ -298,9 +316,17 @@ def _(t):
     return rounded(one(t.spark, r2_adj=stats.r_adjusted(row.r2, row.n, 1)))
 
 
-@query("S09_normal_cdf")
+def simpson(upper: str, f: str) -> str:
+    """SQL: the integral of f(u) from 0 to upper."""
+    return f"list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i % 2000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * list_transform([{upper} * i / 2000], lambda u: {f})[1])) * {upper} / 6000"
+
+
+DENSITY = "exp(-u * u / 2) / sqrt(2 * pi())"
+
+
+@query("S09_normal_cdf", f"SELECT x, round(0.5 + sign(x) * {simpson('abs(x)', DENSITY)}, 8) AS cdf FROM (SELECT unnest(range(-8, 9)) / 2.0::DOUBLE AS x)")
 def _(t):
-    return t.spark.createDataFrame([(x / 2, dist.normal_cdf(x / 2)) for x in range(-8, 9)], "x double, cdf double")
+    return t.spark.createDataFrame([(x / 2, dist.normal_cdf(x / 2)) for x in range(-8, 9)], "x double, cdf double").select("x", r("cdf", 8).alias("cdf"))
 
 
 @query("S10_log_likelihood", """SELECT round(-count(*) / 2.0 * (ln(2 * pi() * sum((y - p) * (y - p)) / count(*)) + 1), 1) AS gaussian,
@@ -341,6 +367,19 @@ def _(t):
     return rounded(model.coefficients(t.spark).select("name", "beta"), 3)
 
 
+AR1 = f"""{HOURLY}, w AS (SELECT CASE WHEN t = 0 THEN sqrt(0.75) ELSE 0.5 END AS c, CASE WHEN t = 0 THEN sqrt(0.75) * x ELSE x - 0.5 * lag(x) OVER o END AS x,
+CASE WHEN t = 0 THEN sqrt(0.75) * y ELSE y - 0.5 * lag(y) OVER o END AS y FROM (SELECT t, y, (t % 24)::DOUBLE AS x FROM h) WINDOW o AS (ORDER BY t)),
+g AS (SELECT count(*) AS n, sum(c * c) AS cc, sum(c * x) AS cx, sum(x * x) AS xx, sum(c * y) AS cy, sum(x * y) AS xy FROM w),
+k AS (SELECT *, (xx * cy - cx * xy) / (cc * xx - cx * cx) AS a, (cc * xy - cx * cy) / (cc * xx - cx * cx) AS b FROM g),
+e AS (SELECT sum(pow(w.y - a * w.c - b * w.x, 2)) / (any_value(n) - 2) AS s2 FROM w, k)"""
+
+
+@query("R10_gls_ar1", f"WITH {AR1} SELECT 'intercept' AS name, round(a, 6) AS beta, round(sqrt(s2 * xx / (cc * xx - cx * cx)), 6) AS stderr FROM k, e UNION ALL SELECT 'x', round(b, 6), round(sqrt(s2 * cc / (cc * xx - cx * cx)), 6) FROM k, e")
+def _(t):
+    rows = hourly(t).withColumn("x", (F.col("t") % 24).cast("double"))
+    return gls.fit_ar1(rows, ["x"], "y", ["t"], 0.5).coefficients(t.spark).select("name", r("beta").alias("beta"), r("stderr").alias("stderr"))
+
+
 @query("R11_ols_report")
 def _(t):
     model = regression.LinearRegression().fit(t.lineitem, FEATURES, "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
@@ -412,9 +451,13 @@ def _(t):
     return rounded(one(t.spark, f=float(model.stats["f"])))
 
 
-@query("S27_tails")
+BETA = "u * u * pow(1 - u * u, 19)"
+
+
+@query("S27_tails", f"""SELECT x, round(1 - 2 * exp(lgamma(21.5) - lgamma(1.5) - lgamma(20)) * {simpson('sqrt(3 * x / (3 * x + 40))', BETA)}, 8) AS f,
+round(1 - {simpson('sqrt(x)', 'sqrt(2 / pi()) * u * u * exp(-u * u / 2)')}, 8) AS chi2, round(1 - 2 * {simpson('x', DENSITY)}, 8) AS normal FROM (SELECT unnest(range(0, 13)) / 2.0::DOUBLE AS x)""")
 def _(t):
-    return t.spark.createDataFrame([(x / 2, dist.f_p_value(x / 2, 3, 40), dist.chi2_p_value(x / 2, 3), dist.normal_p_value(x / 2)) for x in range(13)], "x double, f double, chi2 double, normal double")
+    return rounded(t.spark.createDataFrame([(x / 2, dist.f_p_value(x / 2, 3, 40), dist.chi2_p_value(x / 2, 3), dist.normal_p_value(x / 2)) for x in range(13)], "x double, f double, chi2 double, normal double"), 8)
 
 
 @query("S30_breusch_pagan", f"WITH {SIMPLE} SELECT round(count(*) * regr_r2(e * e, x), 4) AS lm FROM e")
@@ -724,6 +767,29 @@ def _(t):
     return t.spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(found)], "cluster int, " + ", ".join(f"{c} double" for c in DIMENSIONS))
 
 
+GROUPS = "l_linenumber + CASE WHEN l_linenumber > 3 THEN 100 ELSE 0 END"
+
+
+@query("K01_two_groups", f"SELECT count(*) AS n, round(avg({GROUPS}), 6) AS centre FROM lineitem GROUP BY l_linenumber > 3")
+def _(t):
+    rows = t.lineitem.select("l_orderkey", F.expr(GROUPS).cast("double").alias("x"))
+    model = kmeans.KMeans(k=2).fit(rows, ["x"], "l_orderkey")
+    centres = t.spark.createDataFrame([(i, float(c[0])) for i, c in enumerate(model.centres)], "cluster int, centre double")
+    return model.labels.groupBy("cluster").agg(F.count("*").alias("n")).join(centres, "cluster").select("n", r("centre").alias("centre"))
+
+
+@query("K02_distinct_values", "SELECT DISTINCT CAST(n_regionkey AS DOUBLE) AS x FROM nation")
+def _(t):
+    return t.spark.createDataFrame([(float(c[0]),) for c in kmeans.plus_plus(t.nation, ["n_regionkey"], "n_nationkey", 5)], "x double")
+
+
+@query("K08_labels", "SELECT n_nationkey, CAST(n_regionkey AS DOUBLE) AS centre FROM nation")
+def _(t):
+    model = kmeans.KMeans(k=5).fit(t.nation, ["n_regionkey"], "n_nationkey")
+    centres = t.spark.createDataFrame([(i, float(c[0])) for i, c in enumerate(model.centres)], "cluster int, centre double")
+    return model.labels.join(centres, "cluster").select("n_nationkey", r("centre").alias("centre"))
+
+
 @query("K05_stream_update")
 def _(t):
     online = OnlineKMeans(np.array(CENTRES), ["l_quantity", "l_discount"])
@@ -772,7 +838,22 @@ def _(t):
     return rounded(one(t.spark, v=timeseries.critical_value(hourly(t).count())))
 
 
-@query("T07_orders")
+ORDERS = f"""WITH RECURSIVE {HOURLY}, z AS (SELECT t, y - avg(y) OVER () AS y FROM h), n AS (SELECT count(*) AS n, 1.96 / sqrt(count(*)) AS most, least(40, count(*) // 4) AS m, least(40, count(*) // 2) AS m2 FROM h),
+c AS (SELECT l AS lag, sum(a.y * b.y) AS c FROM (SELECT unnest(range(0, 41)) AS l) JOIN z a ON true JOIN z b ON b.t = a.t - l GROUP BY 1),
+rho AS (SELECT lag, c / (SELECT c FROM c WHERE lag = 0) AS rho FROM c),
+l AS (SELECT s, m // s AS m, (SELECT list(rho ORDER BY lag) FROM rho WHERE lag % s = 0) AS r FROM n, (SELECT unnest([1, 6]) AS s)),
+dl AS (SELECT s, 1::BIGINT AS k, [r[2]] AS phi FROM l WHERE m >= 1 UNION ALL SELECT s, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - w * phi[k + 1 - j]), w)
+FROM (SELECT s, k, phi, (r[k + 2] - list_dot_product(phi, list_reverse(r[2:k + 1]))) / (1 - list_dot_product(phi, r[2:k + 1])) AS w FROM dl JOIN l USING (s) WHERE k < m)),
+ar AS (SELECT s, bool_or(k = 1 AND big) AS first, coalesce(min(k) FILTER (WHERE k >= 2 AND NOT big), max(k) + 1) AS stop FROM (SELECT s, k, abs(phi[k]) > most AS big FROM dl, n) GROUP BY s),
+ma AS (SELECT s, coalesce(min(lag // s) FILTER (WHERE abs(rho) <= most) - 1, 0) AS q FROM rho, n, (SELECT unnest([1, 6]) AS s) WHERE lag % s = 0 AND lag // s BETWEEN 1 AND m // s GROUP BY s),
+up AS (SELECT lag, rho, lag(rho) OVER (ORDER BY lag) AS before, lead(rho) OVER (ORDER BY lag) AS after FROM rho),
+f AS (SELECT k, pow(sum(y * cos(2 * pi() * (k * t % n) / n)), 2) + pow(sum(y * sin(2 * pi() * (k * t % n) / n)), 2) AS power FROM h, n, (SELECT unnest(range(1, (SELECT n // 2 FROM n))) AS k) GROUP BY 1)"""
+LAST = "CASE WHEN stop > 2 THEN stop - 1 WHEN first THEN 1 ELSE 0 END"
+
+
+@query("T07_orders", f"""{ORDERS} SELECT coalesce((SELECT min(lag) FROM up, n WHERE lag BETWEEN 4 AND m2 - 1 AND rho > before AND rho > after AND abs(rho) > most), 0) AS period,
+(SELECT CAST(floor(any_value(n) / arg_max(k, power) + 0.5) AS BIGINT) FROM f, n) AS fourier, (SELECT q FROM ma WHERE s = 1) AS q, (SELECT {LAST} FROM ar WHERE s = 1) AS p,
+(SELECT q FROM ma WHERE s = 6) AS seasonal_q, (SELECT {LAST} FROM ar WHERE s = 6) AS seasonal_p""")
 def _(t):
     s = hourly(t)
     return one(t.spark, period=timeseries.acf_period(s), fourier=timeseries.fourier_period(s), q=timeseries.acf_order(s), p=timeseries.pacf_order(s), seasonal_q=timeseries.seasonal_acf_order(s, 6), seasonal_p=timeseries.seasonal_pacf_order(s, 6))

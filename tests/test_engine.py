@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabstat.functions import vectors
-from tabstat.operators import frame, impute, inference, kmeans, linalg, pca, regression, scale, split, stats, timeseries, validate
+from tabstat.operators import frame, gls, impute, inference, kmeans, linalg, pca, regression, scale, split, stats, timeseries, validate
 from tabstat.plans import dist
 from tabstat.plans.gram import moments, solve
 from tabstat.plans.ordered import number
@@ -412,3 +412,85 @@ def test_starts_move_side_by_side(spark):
     small = kmeans.KMeans(k=3, n_init=2, method="minibatch", batch_size=40).fit(df, list("abcde"), "id")
     assert small.inertia < 1.5 * want
     assert kmeans.KMeans(bounds=(2, 5)).select_k(df, list("abcde"), "id") == 3
+
+
+def dense(df, rows, cols):
+    return linalg.to_array(df, rows, cols)
+
+
+def test_matrix_shapes_and_block_product(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(300, 140)), rng.normal(size=(140, 260))
+    a, b = linalg.Matrix(linalg.from_array(spark, x), 300, 140), linalg.Matrix(linalg.from_array(spark, y), 140, 260)
+    assert np.allclose(dense((a @ b).entries, 300, 260), x @ y)
+    assert np.allclose(dense((a.T @ a).entries, 140, 140), x.T @ x)
+    assert np.allclose(dense((a - a).entries, 300, 140), 0)
+    for wrong in (lambda: a + b, lambda: a - b, lambda: a @ a, a.inverse, a.det):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_block_product_of_sparse_entries(spark):
+    rows = [(0, 5, 2.0), (1_000_000, 700, 3.0), (1_000_000, 5, 0.0), (-1, 700, 4.0), (7, 8, None)]
+    a = spark.createDataFrame(rows, "i bigint, j bigint, v double")
+    got = {(r.i, r.j): r.v for r in linalg.multiply(a, linalg.transpose(a)).collect()}
+    want = {}
+    for i, k, v in rows:
+        for j, l, w in rows:
+            if k == l and v is not None and w is not None:
+                want[i, j] = want.get((i, j), 0) + v * w
+    assert got == want
+    assert linalg.multiply(a.limit(0), a).count() == 0
+
+
+def test_determinant_with_factors(spark):
+    x = np.array([[0.0, 2.0, 1.0], [4.0, 1.0, 0.0], [2.0, 5.0, 3.0]])
+    det, packed, order, swaps = linalg.Matrix(linalg.from_array(spark, x), 3, 3).det()
+    assert det == pytest.approx(np.linalg.det(x))
+    lower, upper = np.tril(packed, -1) + np.eye(3), np.triu(packed)
+    assert np.allclose(lower @ upper, x[order])
+    assert swaps % 2 == (1 if det * np.prod(np.diag(packed)) < 0 else 0)
+    assert linalg.factors(linalg.from_array(spark, np.ones((2, 2))), 2)[:2] == (0.0, None)
+
+
+def test_decoded_display(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "id int, kind string")
+    codes = frame.dictionary(df, "kind", ["id"])
+    coded = frame.with_categories(frame.encode(df, "kind", codes), "kind", codes)
+    assert {r.id: r.kind for r in coded.collect()} == {1: 0, 2: 1, 3: None}
+    assert {r.id: r.kind for r in frame.decoded(coded).collect()} == {1: "b", 2: "a", 3: None}
+    assert "|b " in frame.display_decoded(coded) and "|b " not in frame.display(coded)
+    assert frame.decoded(df).collect() == df.collect()
+
+
+def test_generalised_least_squares(spark):
+    rng = np.random.default_rng(5)
+    n, rho = 120, 0.6
+    x = rng.normal(size=(n, 2))
+    y = 1 + x @ [2.0, -1.0] + rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"t": np.arange(n) * 3, "a": x[:, 0], "b": x[:, 1], "y": y})).repartition(5)
+    omega = rho ** np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
+    full, inv = np.column_stack([np.ones(n), x]), np.linalg.inv(omega)
+    cov = np.linalg.inv(full.T @ inv @ full)
+    beta = cov @ full.T @ inv @ y
+    e = y - full @ beta
+    cov *= e @ inv @ e / (n - 3)
+    for model in (gls.fit_ar1(df, ["a", "b"], "y", ["t"], rho), gls.fit_dense(df, ["a", "b"], "y", ["t"], omega)):
+        assert np.allclose(model.beta, beta)
+        assert np.allclose(model.stderr, np.sqrt(np.diag(cov)))
+    with pytest.raises(ValueError):
+        gls.fit_ar1(df, ["a"], "y", ["t"], 1.0)
+    with pytest.raises(ValueError):
+        gls.fit_dense(df, ["a"], "y", ["t"], np.eye(7))
+
+
+def test_report_and_labels(spark, table):
+    _, df = table
+    text = regression.LinearRegression().fit(df, ["a", "b", "c"], "y").summary()
+    assert "***" in text and "stderr" in text
+    lasso = regression.LassoRegression(1e9).fit(df, ["a", "b"], "y")
+    assert "  a " in lasso.summary() and "  a " not in lasso.summary(detailed=False)
+    rows = spark.createDataFrame([(i, float(i % 2 * 50)) for i in range(20)] + [(99, None)], "id int, x double")
+    model = kmeans.KMeans(k=2).fit(rows, ["x"], "id")
+    got = {r.id: model.centres[r.cluster][0] for r in model.labels.collect()}
+    assert got == {i: float(i % 2 * 50) for i in range(20)}
