@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,13 +88,14 @@ def to_array(a: DataFrame, rows: int, cols: int | None = None) -> np.ndarray:
     if max(rows, cols) > MOST:
         raise ValueError(f"more than {MOST} rows or columns")
     out = np.zeros((rows, cols))
-    for r in a.select("i", "j", "v").toLocalIterator():
-        out[r.i, r.j] = r.v
+    got = a.select("i", "j", "v").toArrow()
+    out[got["i"].to_numpy(), got["j"].to_numpy()] = got["v"].to_numpy()
     return out
 
 
 def from_array(spark, a: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(i, j, float(a[i, j])) for i in range(a.shape[0]) for j in range(a.shape[1])], "i bigint, j bigint, v double")
+    i, j = np.indices(a.shape)
+    return spark.createDataFrame(pa.table({"i": i.ravel().astype(np.int64), "j": j.ravel().astype(np.int64), "v": np.asarray(a, float).ravel()}))
 
 
 def invert(a: np.ndarray) -> np.ndarray:
