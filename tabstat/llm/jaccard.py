@@ -311,8 +311,8 @@ def _remaining(posts: DataFrame, members: DataFrame, log_p: int, percent: int) -
     return across.union(_within(members)).distinct()
 
 
-def _fetch(rows: DataFrame, wanted: DataFrame, log_p: int, size: int) -> DataFrame:
-    """(key, text) of the wanted (key, rep): a bitmap of ids spares the other texts the shuffle."""
+def _fetch(rows: DataFrame, wanted: DataFrame, scratch: S.Scratch, log_p: int, size: int) -> DataFrame:
+    """Table (key, text) of the wanted (key, rep): a bitmap of ids spares the other texts the shuffle."""
     log_p = S.bitmap_parts(log_p)
     bits = rows.sparkSession.sparkContext.broadcast(S.bitmap(S.id_hashes(wanted.select("rep"), log_p), log_p)[0])
 
@@ -328,15 +328,19 @@ def _fetch(rows: DataFrame, wanted: DataFrame, log_p: int, size: int) -> DataFra
             yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(key)), "rep": pa.array(ids[mine]), "text": text})
 
     found = rows.select("id", "text").mapInArrow(S.lean(scan), "key bigint, rep bigint, text string")
-    return found.join(wanted, ["key", "rep"], "left_semi").dropDuplicates(["key"]).select("key", "text")
+    out = scratch.table(found.join(wanted, ["key", "rep"], "left_semi").dropDuplicates(["key"]).select("key", "text"))
+    bits.destroy()
+    return out
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, scratch: S.Scratch, log_p: int, size: int, percent: int) -> DataFrame:
     """Those of the class pairs whose similarity reaches the threshold, by the texts of the classes in pairs."""
     pairs = scratch.table(pairs)
+    scratch.sweep()
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", F.coalesce("rep", F.lit(int(S.NULL_ID))).alias("rep"))
     wanted = scratch.table(wanted)
-    texts = scratch.table(_fetch(rows, wanted, log_p, size))
+    texts = _fetch(rows, wanted, scratch, log_p, size)
+    scratch.sweep()
 
     def check(batches):
         for batch in batches:
@@ -358,6 +362,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, classes: DataFrame, scratch: S.
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
     out = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(S.lean(check), "a bigint, b bigint"))
     scratch.free(pairs, wanted, texts)
+    scratch.sweep()
     return out
 
 
@@ -374,11 +379,12 @@ def _links(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int,
     log_p = S.log_parts(rows)
     bits = sketch_bits(rows)
     profile = scratch.table(_profile(rows, size, bits))
+    scratch.sweep()
     documents = profile.where("block IS NULL").select("id", "sign", "n", "key")
     classes = scratch.table(documents.where("n > 0").groupBy("key").agg(F.min("id").alias("rep")))
     sketch = spark.sparkContext.broadcast(_sketch(profile, bits))
     met = scratch.table(_postings(rows, sketch, bits, log_p, size, percent))
-    sketch.unpersist()
+    sketch.destroy()
     scratch.sweep()
     posts = met.where("kind = 0").drop("kind")
     members = met.where("kind = 1").select("grp", F.col("token").alias("key")).distinct()
@@ -386,7 +392,6 @@ def _links(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int,
     members = scratch.table(members.join(shared, "grp", "left_semi"))
     first = _verified(rows, _nearest(posts, members, percent), classes, scratch, log_p, size, percent)
     joined = scratch.table(S.components(first, scratch))
-    scratch.sweep()
     own = scratch.table(members.join(joined, members.key == joined.node, "left").select("grp", "key", F.coalesce("component", "key").alias("component")))
     second = _verified(rows, _remaining(posts, own, log_p, percent), classes, scratch, log_p, size, percent)
     scratch.free(met, members, joined, own)
@@ -416,6 +421,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = scratch.table(S.components(links.union(ties), scratch))
     named = classes.join(final, classes.key == final.node, "left").select("key", F.coalesce("component", "key").alias("tie"), "rep")
     named = scratch.table(named)
+    scratch.sweep()
     least = named.groupBy("tie").agg(F.min("rep").alias("component"))
     of_class = named.join(least, "tie").select("key", "component")
     out = documents.join(of_class, "key", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
@@ -443,6 +449,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     best = own.groupBy("component").agg(F.min("row").alias("best"), F.count("*").alias("c")).where("c > 1").drop("c")
     listed = own.join(best, "component").select("row.id", "row.sign", (F.col("row.id").eqNullSafe(F.col("best.id")) & (F.col("row.sign") == F.col("best.sign"))).alias("best"))
     listed = scratch.table(listed.groupBy("id", "sign", "best").agg(F.count("*").alias("c")))
+    scratch.sweep()
     gone = scratch.keep(scratch.table(listed.where("NOT best").select(F.col("id").alias("i"), F.col("sign").alias("s")).distinct()))
     again = scratch.keep(scratch.table(listed.where("best AND c > 1").select(F.col("id").alias("i"), F.col("sign").alias("s"))))
     scratch.free()

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ PART_BYTES = (4 << 20, 16 << 20)
 BATCH_BYTES = 4 << 20
 #: Bits of a bitmap of hashes, whatever the input: 16 MB. Past its capacity it lets more through, and never less.
 BITMAP_BITS = 27
+#: Most edges (16 bytes each) of a graph that one task joins.
+EDGES_AT_ONCE = 1_000_000
 #: Value that stands for a null document id: it sorts after every other.
 NULL_ID = np.iinfo(np.int64).max
 
@@ -40,6 +43,21 @@ def _trim() -> None:
         pass
 
 
+def _trim_jvm(spark: SparkSession) -> str | None:
+    """_trim for the driver's JVM, whose compilers hold on to what they freed. Its report, or None from a JVM without the command (HotSpot on Linux has it)."""
+    jvm = spark._jvm
+    try:
+        # By the interface's method: the server's own class is closed to reflection.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        new = spark.sparkContext._gateway.new_array
+        args = new(jvm.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = new(jvm.Object, 0), new(jvm.String, 0)
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return None
+
+
 def lean(scan):
     """scan, for mapInArrow, with its memory given back at the end of a partition."""
 
@@ -125,9 +143,11 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def sweep(self) -> None:
-        """Asks the driver to let go of finished steps: their shuffle files go when it collects its garbage."""
+        """Asks the driver to let go of finished steps: their shuffle files go when it collects its garbage, and freed memory goes back."""
         gc.collect()
         self.spark._jvm.System.gc()
+        _trim()
+        _trim_jvm(self.spark)
 
 
 def write_table(df: DataFrame) -> DataFrame:
@@ -298,29 +318,58 @@ def id_hashes(ids: DataFrame, log_p: int) -> DataFrame:
     return ids.mapInArrow(lean(pack), HASHES)
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (a, b), and the least node that each one's edges lead to."""
+    node, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    up = np.arange(len(node))
+    while len(i):
+        # Of two roots with an edge the larger goes below the least that it meets, until no edge joins two.
+        np.minimum.at(up, np.maximum(i, j), np.minimum(i, j))
+        while (up[up] != up).any():
+            up = up[up]
+        i, j = up[i], up[j]
+        apart = i != j
+        i, j = i[apart], j[apart]
+    return node, node[up]
+
+
+def components(edges: DataFrame, scratch: Scratch, most: int = 60, at_once: int | None = None) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b); a component is named by its least node.
 
-    Alternating large-star and small-star rounds: every round is two group-by
+    Up to at_once edges (EDGES_AT_ONCE) one task joins them all. More go through
+    alternating large-star and small-star rounds: every round is two group-by
     minima, the edge table stays linear, and nothing is collected but each round's
-    count and checksum of the edges.
+    count and checksum of the edges. As stars shrink the table, a round may leave
+    few enough for one task.
     """
+    at_once = EDGES_AT_ONCE if at_once is None else at_once
+    pair = lambda *ends: F.struct(F.col(ends[0]).alias("a"), F.col(ends[1]).alias("b"))
     sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+    def settle(batches):
+        held = [[batch.column(i).to_numpy() for i in (0, 1)] for batch in batches]
+        if held:
+            node, component = least_reached(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node), "component": pa.array(component)})
+
     edges = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = sign(edges)
+    now = sign(edges)
     for _ in range(most):
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if now[0] <= at_once:
+            return edges.coalesce(1).mapInArrow(lean(settle), "node bigint, component bigint")
+        # Both directions, and both edges of a star, come from one read: a union would repeat the plan below it, again and again.
+        both = edges.select(F.explode(F.array(pair("a", "b"), pair("b", "a"))).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = scratch.table(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(least, "a")
-        small = star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(star.select("a", F.col("m").alias("b"))).distinct()
+        small = large.join(least, "a").select(F.explode(F.array(pair("b", "m"), pair("a", "m"))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         after = scratch.table(small)
-        scratch.free(edges)
-        edges, now = after, sign(after)
+        scratch.free(edges, large)
+        scratch.sweep()
+        before, edges, now = now, after, sign(after)
         if now == before:
             break
-        before = now
     else:
         raise RuntimeError("components did not converge")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -91,6 +91,49 @@ def test_components(spark):
     assert spread.components(spark.createDataFrame([], "a bigint, b bigint"), spread.Scratch(spark)).count() == 0
 
 
+def jobs_of(spark, run):
+    """What run gives, and the number of Spark jobs that it took."""
+    spark.sparkContext.setJobGroup(name := f"jobs {time.time()}", "")
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+@pytest.mark.parametrize("at_once", [spread.EDGES_AT_ONCE, 40, 0])
+def test_components_in_one_task_and_in_rounds(spark, at_once):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-90, 90, (120, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    table = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
+    got = [(r.node, r.component) for r in spread.components(table, spread.Scratch(spark), at_once=at_once).collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in list(root))
+
+
+def test_components_of_a_long_path_take_few_jobs(spark):
+    table = spark.createDataFrame([(i, i + 1) for i in range(500)], "a bigint, b bigint").repartition(3)
+    found, jobs = jobs_of(spark, lambda: spread.components(table, spread.Scratch(spark)).collect())
+    assert {tuple(r) for r in found} == {(i, 0) for i in range(501)}
+    assert jobs <= 8
+
+
+def test_sweep_gives_native_memory_back(spark, monkeypatch):
+    said, trim = [], spread._trim_jvm
+    monkeypatch.setattr(spread, "_trim_jvm", lambda s: said.append(trim(s)))
+    spread.Scratch(spark).sweep()
+    assert len(said) == 1 and (said[0] is None or "rim" in said[0])
+
+
 # 7 and 8: repeated passages
 
 
