@@ -80,9 +80,12 @@ def sketch_bits(rows: DataFrame) -> int:
 
 
 def _profile(rows: DataFrame, size: int, bits: int) -> DataFrame:
-    """Per document: id, sign, n, the class key; per task: blocks of shingle counts."""
+    """Per document: id, sign, n, the class key; per task and block of the sketch: a bitmap of the counters met, and their counts.
+
+    The counts of a block are as wide as its largest needs, so what a task sends follows what it read.
+    """
     width = (1 << bits) // _BLOCKS
-    kinds = {"id": pa.int64(), "sign": pa.int64(), "n": pa.int64(), "key": pa.int64(), "block": pa.int32(), "counts": pa.binary()}
+    kinds = {"id": pa.int64(), "sign": pa.int64(), "n": pa.int64(), "key": pa.int64(), "block": pa.int32(), "met": pa.binary(), "counts": pa.binary()}
 
     def scan(batches):
         counts = np.zeros(1 << bits, np.uint32)
@@ -95,21 +98,33 @@ def _profile(rows: DataFrame, size: int, bits: int) -> DataFrame:
                 key.append(class_key(*sets.prints(), sets.n))
             columns = {"id": batch.column(0), "sign": batch.column(2), "n": pa.array(np.concatenate(n)), "key": pa.array(np.concatenate(key))}
             yield pa.RecordBatch.from_pydict({c: columns.get(c, pa.nulls(batch.num_rows, k)) for c, k in kinds.items()})
-        columns = {"block": pa.array(range(_BLOCKS), pa.int32()), "counts": pa.array([counts[i * width : (i + 1) * width].tobytes() for i in range(_BLOCKS)], pa.binary())}
-        yield pa.RecordBatch.from_pydict({c: columns.get(c, pa.nulls(_BLOCKS, k)) for c, k in kinds.items()})
+        for i in range(_BLOCKS):
+            own = counts[i * width : (i + 1) * width]
+            found = own[own > 0]
+            if len(found):
+                columns = {"block": pa.array([i], pa.int32()), "met": pa.array([np.packbits(own > 0).tobytes()]), "counts": pa.array([found.astype(np.min_scalar_type(found.max())).tobytes()])}
+                yield pa.RecordBatch.from_pydict({c: columns.get(c, pa.nulls(1, k)) for c, k in kinds.items()})
 
-    return rows.select("id", "text", "sign").mapInArrow(S.lean(scan), "id bigint, sign bigint, n bigint, key bigint, block int, counts binary")
+    return rows.select("id", "text", "sign").mapInArrow(S.lean(scan), "id bigint, sign bigint, n bigint, key bigint, block int, met binary, counts binary")
 
 
 def _sketch(profile: DataFrame, bits: int) -> np.ndarray:
-    """Sums of the tasks' counts: 2**bits numbers."""
-
-    def add(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]
-        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([np.minimum(np.sum(parts, axis=0, dtype=np.uint64), 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+    """Sums of the tasks' counts: 2**bits numbers. A task adds up what comes in, row by row, and holds no more than the sketch."""
+    width = (1 << bits) // _BLOCKS
 
-    out = np.zeros((_BLOCKS, (1 << bits) // _BLOCKS), np.uint32)
-    for row in profile.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(S.lean_group(add), "block int, counts binary").collect():
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                total = held.setdefault(row["block"], np.zeros(width, np.uint32))
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(row["met"], np.uint8), count=width))
+                n = np.frombuffer(row["counts"], f"u{len(row['counts']) // len(at)}")
+                total[at] = np.minimum(total[at].astype(np.uint64) + n, 0xFFFFFFFF)
+        for block, total in held.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([total.tobytes()])})
+
+    out = np.zeros((_BLOCKS, width), np.uint32)
+    for row in profile.where("block IS NOT NULL").select("block", "met", "counts").repartition("block").mapInArrow(S.lean(add), "block int, counts binary").collect():
         out[row.block] = np.frombuffer(row.counts, np.uint32)
     return out.reshape(-1)
 

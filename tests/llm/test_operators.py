@@ -273,6 +273,21 @@ def test_jaccard(spark, docs, rows):
     assert jaccard.link_components(empty(spark)).count() == 0
 
 
+def test_jaccard_sketch_sends_what_it_counted(spark):
+    texts = [f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(40)] + ["one line met very often"] * 300 + ["", None]
+    rows = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "id bigint, text string, sign bigint").repartition(6).cache()
+    profile = jaccard._profile(rows, 5, 20).cache()
+    assert profile.where("block IS NULL").count() == len(texts)
+    # Six tasks with a few hundred shingles: a whole sketch of each would be 24 MB.
+    assert profile.agg(F.sum(F.octet_length("counts"))).first()[0] < 10_000
+    want = np.zeros(1 << 20, np.int64)
+    for t in texts:
+        sets = jaccard.Sets(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len(t or "")]), 5)
+        np.add.at(want, (sets.value >> np.uint64(44)).astype(np.int64), 1)
+    got = jaccard._sketch(profile, 20)
+    assert got.max() == 300 and (got == want).all()
+
+
 def test_jaccard_family_of_near_copies(spark):
     """Many edited copies of one text: all meet in long posting lists, some don't link."""
     rng = np.random.default_rng(9)
