@@ -1,6 +1,7 @@
 """Operators against NumPy closed forms on seeded data."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -301,6 +302,35 @@ def test_kmeans_finds_clusters(spark, method):
         assert kmeans.KMeans(n_init=1, max_iter=5, bounds=(2, 5)).select_k(df, ["x", "y"], "k") == 3
 
 
+def test_online_sequence_is_the_row_by_row_one():
+    def plain(rows, start, seed, most):
+        at, seen = start.copy(), np.zeros(len(start))
+        for epoch in range(most):
+            before = at.copy()
+            for x in rows[np.random.default_rng((seed, epoch)).permutation(len(rows))]:
+                c = ((at - x) ** 2).sum(axis=1).argmin()
+                seen[c] += 1
+                at[c] += (x - at[c]) / seen[c]
+            if np.sqrt(((at - before) ** 2).sum(axis=1)).max() <= kmeans.TOLERANCE:
+                break
+        return at, seen
+
+    rng = np.random.default_rng(5)
+    free = rng.normal(size=(3000, 8))
+    near = np.concatenate([c + rng.normal(scale=0.3, size=(700, 2)) for c in ([0.0, 0], [10, 0], [0, 10])])
+    for rows, k in ((free, 3), (free, 1), (near, 5), (free[:2], 2), (np.repeat(free[:9], 80, axis=0), 4), (near + 1e6, 3), (near.round(), 6), (free[:0], 2)):
+        start = near[:k] + 1e6 if rows.size and rows.max() > 1e5 else np.resize(rows if len(rows) else free, (k, rows.shape[1]))
+        want, got = plain(rows, start, 3, 6), kmeans._sequence(rows, start, 3, 6)
+        assert got[1].tolist() == want[1].tolist() and np.allclose(got[0], want[0], rtol=1e-9, atol=1e-9)
+    free = np.tile(free, (7, 8))
+    spent = []
+    for run in (plain, kmeans._sequence):
+        began = time.thread_time()
+        run(free, free[:3].copy(), 0, 4)
+        spent.append(time.thread_time() - began)
+    assert spent[1] < spent[0] / 2
+
+
 def test_streaming_updates(spark, tmp_path):
     from tabstat.streaming.online_kmeans import OnlineKMeans
 
