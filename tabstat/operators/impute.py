@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabstat.functions.vectors import gower, most_frequent
 from tabstat.plans.ordered import number, quantiles
+from tabstat.plans.shared import write_table
 
 METHODS = ("mean", "median", "mode", "forward", "backward")
 #: Positions in one stretch when values are carried over the whole order.
@@ -59,34 +60,57 @@ def knn_impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, p: f
     and any other the weighted mean. Distances use the original values, ties go to
     the lower key, and a cell without donors stays null.
 
-    Rows with nulls are compared with all rows in blocks: each block is a bounded
-    broadcast, and the k best of a cell are found in shares first.
+    A distance reads only the columns that the row with the null has. Rows with equal
+    values in them are one: each different row with nulls meets each different row
+    of donors, which stands for its first k by key. Those with nulls come in blocks:
+    each is a bounded broadcast, and the k best of a cell are found in shares first.
     """
     columns = list(columns)
+    size = range(len(columns))
     whole = df.agg(*(F.bool_and(F.col(c).isNull() | (F.col(c) == F.floor(c))).alias(c) for c in columns)).first()
     widths = df.agg(*((F.max(c) - F.min(c)).cast("double").alias(c) for c in columns)).first()
-    base = df.select(F.col(key).alias("_k"), *(F.col(c).cast("double").alias(f"d{i}") for i, c in enumerate(columns)))
-    missing = base.where(reduce(Column.__or__, [F.col(f"d{i}").isNull() for i in range(len(columns))]))
-    blocks = max(1, -(-missing.count() // block))
+    base = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), *(F.col(c).cast("double").alias(f"d{i}") for i, c in enumerate(columns)))
+    missing = base.where(reduce(Column.__or__, [F.col(f"d{i}").isNull() for i in size]))
+    # Where rows share a key, a list also holds those that a row of that key leaves out.
+    room = k + (base.groupBy("_k").count().agg(F.max("count")).first()[0] or 1) - 1
+    kinds = missing.select(*(F.col(f"d{i}").alias(f"q{i}") for i in size)).distinct()
+    gone = F.concat(*(F.col(f"q{i}").isNull().cast("int").cast("string") for i in size))
+    masks = [r[0] for r in kinds.select(gone).distinct().collect()]
+    kinds = write_table(kinds.withColumn("_m", gone))
+
+    def first(rows: DataFrame, by: list, order: list[str]) -> DataFrame:
+        """The first of the rows of each place, in each task's share first: no cell's donors meet in one place."""
+        share = F.pmod(F.xxhash64("k"), F.lit(_SHARES))
+        return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by, share).orderBy(*order))).where(F.col("_r") <= room).drop("_r")
+
+    # A row's values in the columns that a mask leaves, once for each mask and each masked column that it has.
+    cells = F.array(*(F.struct(F.lit(i).alias("c"), F.col(f"d{i}").alias("v")) for i in size))
+    donors = base.select("*", F.explode(F.array(*map(F.lit, masks)) if masks else F.array().cast("array<string>")).alias("_m")).select("*", F.explode(cells).alias("x"))
+    donors = donors.where(F.col("x.v").isNotNull() & (F.substring("_m", F.col("x.c") + 1, F.lit(1)) == "1"))
+    donors = donors.select("_m", "x.c", F.col("_k").alias("k"), "x.v", *(F.when(F.substring("_m", i + 1, 1) == "0", F.col(f"d{i}")).alias(f"d{i}") for i in size))
+    place = ["_m", "c", *(f"d{i}" for i in size)]
+    some = first(donors, place, ["k"]).groupBy(*place).agg(F.expr(f"slice(array_sort(collect_list(struct(k, v))), 1, {room})").alias("some"))
+    some = write_table(some)
+    blocks = max(1, -(-kinds.count() // block))
     found = None
     for b in range(blocks):
-        asked = missing.where(F.pmod(F.xxhash64("_k"), F.lit(blocks)) == b)
-        asked = asked.select(F.col("_k").alias("_q"), *(F.col(f"d{i}").alias(f"q{i}") for i in range(len(columns))))
-        pairs = base.join(F.broadcast(asked), F.col("_k") != F.col("_q"))
-        mine, theirs = [F.col(f"q{i}") for i in range(len(columns))], [F.col(f"d{i}") for i in range(len(columns))]
+        asked = kinds.where(F.pmod(F.xxhash64(*(f"q{i}" for i in size)), F.lit(blocks)) == b)
+        pairs = some.join(F.broadcast(asked), "_m")
+        mine, theirs = [F.col(f"q{i}") for i in size], [F.col(f"d{i}") for i in size]
         if p < 0:
             gap = gower(mine, theirs, [c in categorical for c in columns], [widths[c] or 0.0 for c in columns])
         else:
             terms = [F.when(x.isNotNull() & y.isNotNull(), F.pow(F.abs(x - y), F.lit(float(p)))) for x, y in zip(mine, theirs, strict=True)]
             n = sum((t.isNotNull().cast("int") for t in terms), F.lit(0))
             gap = F.when(n > 0, F.pow(sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0)) / n, F.lit(1 / p)))
-        cells = F.array(*(F.struct(F.lit(i).alias("c"), F.col(f"q{i}").isNull().alias("gone"), F.col(f"d{i}").alias("v")) for i in range(len(columns))))
-        donors = pairs.select("_q", "_k", gap.alias("_d"), F.explode(cells).alias("x")).where("x.gone AND x.v IS NOT NULL AND _d IS NOT NULL")
-        # Best k in each task's share first, then of those: no cell's donors meet in one place.
-        some = F.row_number().over(Window.partitionBy("_q", "c", "_p").orderBy("d", "k"))
-        best = donors.select("_q", "x.c", F.col("_d").alias("d"), F.col("_k").alias("k"), "x.v", F.pmod(F.xxhash64("_k"), F.lit(_SHARES)).alias("_p")).withColumn("_r", some).where(F.col("_r") <= k)
-        near = best.groupBy("_q", "c").agg(F.expr(f"slice(array_sort(collect_list(struct(d, k, v))), 1, {int(k)})").alias("near"))
+        asks = [f"q{i}" for i in size]
+        near = pairs.select(*asks, "c", gap.alias("d"), "some").where("d IS NOT NULL").select(*asks, "c", "d", F.explode("some").alias("s")).select(*asks, "c", "d", "s.k", "s.v")
+        near = first(near, [*asks, "c"], ["d", "k"]).groupBy(*asks, "c").agg(F.expr(f"slice(array_sort(collect_list(struct(d, k, v))), 1, {room})").alias("near"))
         found = near if found is None else found.union(near)
+    # Each row takes its kind's list without its own key; rows of one key pool theirs.
+    own = missing.join(found, reduce(Column.__and__, [F.col(f"d{i}").eqNullSafe(F.col(f"q{i}")) for i in size]))
+    own = own.select(F.col("_k").alias("_q"), "c", F.filter("near", lambda x: x.k != F.col("_k")).alias("near"))
+    found = own.groupBy("_q", "c").agg(F.expr(f"slice(array_sort(flatten(collect_list(near))), 1, {int(k)})").alias("near"))
     flags = F.array(*(F.lit(bool(whole[c]) or c in categorical) for c in columns))
     vote = F.expr("""array_sort(transform(array_distinct(transform(near, x -> x.v)), u -> named_struct('w', -aggregate(near, 0D, (s, x) -> s + CASE WHEN x.v = u THEN 1 / x.d ELSE 0D END), 'v', u)))[0].v""")
     mean = F.expr("aggregate(near, 0D, (s, x) -> s + x.v / x.d) / aggregate(near, 0D, (s, x) -> s + 1 / x.d)")

@@ -241,6 +241,18 @@ def test_knn(spark):
     assert got[6][0] is not None
 
 
+def test_knn_of_equal_rows_meets_once(spark, monkeypatch):
+    held, write = [], impute.write_table
+    monkeypatch.setattr(impute, "write_table", lambda df: held.append(write(df)) or held[-1])
+    rows = [(i, float(i % 5), None if i % 7 == 0 else i + 0.5) for i in range(400)]
+    got = {r.k: r.y for r in impute.knn_impute(spark.createDataFrame(rows, "k int, x double, y double"), "k", ["x", "y"], 3).collect()}
+    for k, x, y in rows:
+        near = min((abs(x - a), j, b) for j, a, b in rows if b is not None)
+        assert got[k] == (near[2] if y is None else y)
+    # 58 rows with a null and 342 donors, but five different ones of each.
+    assert [t.count() for t in held] == [5, 5]
+
+
 def test_scaling_and_transforms(spark):
     x = np.array([1.0, 2, 4, 8, 16])
     df = spark.createDataFrame(pd.DataFrame({"k": range(5), "v": x}))
